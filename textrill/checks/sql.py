@@ -43,7 +43,7 @@ def ftrl_pass(name: str, feats: str, rows: str, labels: str, state: str, cfg: Ft
     )
     yield (
         f"{name}_g",
-        f"SELECT m.label, f.idx, f.v * (1.0::DOUBLE / (1.0::DOUBLE + exp(-m.m)) - m.t) AS g "
+        f"SELECT m.id, m.label, f.idx, f.v * (1.0::DOUBLE / (1.0::DOUBLE + exp(-m.m)) - m.t) AS g "
         f"FROM {feats} f JOIN {name}_m m ON m.id = f.id",
     )
     yield (
@@ -150,3 +150,217 @@ TOPICS = (
     + " AS strength FROM scored GROUP BY batch, pred"
 )
 PREDICTIONS = "\nSELECT batch::INTEGER AS batch, id, y, pred, " + r6("prob") + " AS prob FROM scored"
+
+
+# --- text -------------------------------------------------------------------------------
+
+
+def java_split(t: str) -> str:
+    return (
+        f"(CASE WHEN {t} = '' THEN [''] WHEN rtrim({t}, ' ') = '' THEN []::VARCHAR[] "
+        f"ELSE string_split(rtrim({t}, ' '), ' ') END)"
+    )
+
+
+def clear(t: str) -> str:
+    return f"array_to_string({java_split(t)}, ' ')"
+
+
+def spaced(t: str) -> str:
+    """Text with line ends as separators too."""
+    return f"replace({t}, chr(10), ' ')"
+
+
+def plain(t: str) -> str:
+    return f"regexp_replace({clear(t)}, '[^a-z|A-Z|0-9 ]', '', 'g')"
+
+
+CLEANED = plain(spaced("text"))
+
+
+def documents(batches: int = 1, y: str = "lang") -> tuple[str, str]:
+    """``docs(batch, id, y, tokens)``: cleaned documents."""
+    return (
+        "docs",
+        f"SELECT batch, id, y, {java_split('c')} AS tokens FROM (SELECT "
+        f"{batch_of('doc_id', 'documents', batches)} AS batch, doc_id AS id, {y} AS y, "
+        f"{CLEANED} AS c FROM documents)",
+    )
+
+
+LINES = (
+    "lines",
+    "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, "
+    "unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents",
+)
+
+TFIDF = [
+    ("rows", "SELECT batch, id, y FROM docs"),
+    (
+        "tf",
+        "SELECT batch, id, idx, count(*)::DOUBLE AS tf FROM "
+        "(SELECT batch, id, unnest(tokens) AS idx FROM docs) GROUP BY ALL",
+    ),
+    ("df", "SELECT batch, idx, count(*) AS df FROM tf GROUP BY ALL"),
+    ("m", "SELECT batch, count(*) AS m FROM docs GROUP BY ALL"),
+    (
+        "feats",
+        "SELECT tf.batch, id, tf.idx, tf * ln((m + 1)::DOUBLE / (df + 1)::DOUBLE) AS v "
+        "FROM tf JOIN df USING (batch, idx) JOIN m USING (batch)",
+    ),
+]
+
+BASE_WORDS = (
+    "base",
+    f"SELECT DISTINCT unnest({java_split('c')}) AS word FROM (SELECT {CLEANED} AS c FROM benchmark)",
+)
+
+
+def hashed_vectors(source: str, size: int) -> str:
+    """``(word, pos, x)``: the check vectors, from digits of a digest of the word."""
+    return (
+        "SELECT word, pos, ((('0x' || substr(md5(word || '#' || (pos // 16)), 2 * (pos % 16) + 1, 2))::INT "
+        f"- 127.5::DOUBLE) / 1275.0::DOUBLE)::FLOAT::DOUBLE AS x FROM {source}, "
+        f"(SELECT unnest(range({size})) AS pos)"
+    )
+
+
+def document_vectors(size: int, batches: int = 1, docs: str = "docs") -> list[tuple[str, str]]:
+    """Blocks ending in ``vecs(batch, id, y, pos, x)``."""
+    return [
+        BASE_WORDS,
+        ("wv", hashed_vectors("base", size)),
+        (
+            "tw",
+            f"SELECT id, word, count(*) AS c FROM (SELECT id, unnest(tokens) AS word FROM {docs}) "
+            "WHERE word IN (SELECT word FROM base) GROUP BY ALL",
+        ),
+        ("ts", "SELECT id, pos, sum(c * x) AS s FROM tw JOIN wv USING (word) GROUP BY ALL"),
+        (
+            "vecs",
+            "SELECT d.batch, d.id, d.y, p.pos, CASE WHEN len(d.tokens) = 0 THEN 0.0::DOUBLE ELSE "
+            f"coalesce(s, 0.0::DOUBLE) / len(d.tokens) END AS x FROM {docs} d CROSS JOIN "
+            f"(SELECT unnest(range({size})) AS pos) p LEFT JOIN ts ON ts.id = d.id AND ts.pos = p.pos",
+        ),
+    ]
+
+
+# --- dense vectors ----------------------------------------------------------------------
+
+
+def embeddings(batches: int = 1, batch: str | None = None, y: str = "label::VARCHAR"):
+    """``rows(batch, id, y)`` and ``feats(batch, id, idx, v)``."""
+    batch = batch or batch_of("vec_id", "embeddings", batches)
+    return [
+        ("vectors", f"SELECT {batch} AS batch, vec_id AS id, {y} AS y, embedding FROM embeddings"),
+        ("rows", "SELECT batch, id, y FROM vectors"),
+        (
+            "feats",
+            "SELECT batch, id, unnest(range(len(embedding))) AS idx, "
+            "unnest(embedding)::DOUBLE AS v FROM vectors",
+        ),
+    ]
+
+
+def margins(state: str = "state", labels: str = "l_all", cfg: FtrlConfig = CFG):
+    """Blocks ``w`` and ``margins(id, y, label, ord, m)`` of all rows under a state."""
+    return [
+        ("w", f"SELECT label, idx, z, n, {weight('z', 'n', cfg)} AS w FROM {state}"),
+        (
+            "margins",
+            f"SELECT r.id, r.y, l.label, l.ord, coalesce(s.m, 0.0) AS m FROM rows r "
+            f"CROSS JOIN {labels} l LEFT JOIN (SELECT f.id, w.label, sum(f.v * w.w) AS m FROM feats f "
+            f"JOIN w ON w.idx = f.idx GROUP BY f.id, w.label) s ON s.id = r.id AND s.label = l.label",
+        ),
+        (
+            "best",
+            "SELECT id, y, label AS pred, 1.0::DOUBLE / (1.0::DOUBLE + exp(-m)) AS prob FROM margins "
+            "QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC, ord) = 1",
+        ),
+    ]
+
+
+def trained(
+    before: list[tuple[str, str]],
+    passes: int,
+    index_type: str = "BIGINT",
+    start: str | None = None,
+    labels: str = "SELECT y AS label, row_number() OVER (ORDER BY y) - 1 AS ord FROM (SELECT DISTINCT y FROM rows)",
+    cfg: FtrlConfig = CFG,
+) -> list[tuple[str, str]]:
+    """Blocks of one batch: ``l_all``, the states ``t1``..``tN``, and ``state``."""
+    ctes = [*before, ("l_all", labels)]
+    ctes.append(empty_state(index_type) if start is None else ("s0", start))
+    state = "s0"
+    for k in range(1, passes + 1):
+        ctes += ftrl_pass(f"t{k}", "feats", "rows", "l_all", state, cfg)
+        state = f"t{k}"
+    ctes.append(("state", f"SELECT * FROM {state}"))
+    return ctes
+
+
+STATE = (
+    f"\nSELECT label, idx, {r6('z')} AS z, {r6('n')} AS n, {r6(weight('z', 'n'))} AS w FROM state"
+)
+
+
+# --- gradient descent -------------------------------------------------------------------
+
+
+def sgd(
+    iterations: int,
+    step: float,
+    reg: float = 0.01,
+    tol: float = 0.001,
+    loss: str = "logistic",
+    rows: str = "targets",
+    feats: str = "x",
+    start: str | None = None,
+    name: str = "w",
+) -> list[tuple[str, str]]:
+    """Blocks ``{name}0``..``{name}N(m, pos, w, done)`` for rows(id, m, t) and feats(id, pos, x)."""
+    start = start or (
+        f"SELECT m, pos, 0.0::DOUBLE AS w, false AS done FROM (SELECT DISTINCT m FROM {rows}) "
+        f"CROSS JOIN (SELECT DISTINCT pos FROM {feats})"
+    )
+    ctes = [(f"{name}0", start)]
+    slope = (
+        "1.0::DOUBLE / (1.0::DOUBLE + exp(-g.mg)) - g.t"
+        if loss == "logistic"
+        else "CASE WHEN (2 * g.t - 1) * g.mg < 1 THEN -(2 * g.t - 1) ELSE 0.0::DOUBLE END"
+    )
+    for t in range(1, iterations + 1):
+        rate = f"({step}::DOUBLE / sqrt({t}::DOUBLE))"
+        ctes += [
+            (
+                f"{name}m{t}",
+                f"SELECT r.id, r.m, any_value(r.t) AS t, sum(f.x * w.w) AS mg FROM {rows} r "
+                f"JOIN {feats} f ON f.id = r.id JOIN {name}{t - 1} w ON w.m = r.m AND w.pos = f.pos "
+                f"GROUP BY r.id, r.m",
+            ),
+            (
+                f"{name}g{t}",
+                f"SELECT g.m, f.pos, sum(f.x * ({slope})) / count(*) AS g FROM {name}m{t} g "
+                f"JOIN {feats} f ON f.id = g.id GROUP BY g.m, f.pos",
+            ),
+            (
+                f"{name}u{t}",
+                f"SELECT w.m, w.pos, w.w AS old, w.done, w.w * (1 - {rate} * {reg}::DOUBLE) - {rate} * g.g "
+                f"AS new FROM {name}{t - 1} w JOIN {name}g{t} g ON g.m = w.m AND g.pos = w.pos",
+            ),
+            (
+                f"{name}{t}",
+                f"SELECT m, pos, CASE WHEN done THEN old ELSE new END AS w, done OR ({t} > 1 AND "
+                f"sqrt(sum((new - old) * (new - old)) OVER (PARTITION BY m)) < {tol}::DOUBLE * "
+                f"greatest(sqrt(sum(new * new) OVER (PARTITION BY m)), 1.0::DOUBLE)) AS done "
+                f"FROM {name}u{t}",
+            ),
+        ]
+    return ctes
+
+
+DENSE_X = (
+    "x",
+    "SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x "
+    "FROM embeddings",
+)

@@ -42,16 +42,17 @@ def remove_stop_words(
     column: str = "text",
     id_column: str = "id",
     policy: JoinPolicy = JoinPolicy(),
+    inline_words: int = INLINE_WORDS,
 ) -> DataFrame:
     """T3 for a table ``words(word)`` of any size.
 
-    Up to ``INLINE_WORDS`` words become a hash set inside the expression, so texts are not
+    Up to ``inline_words`` words become a hash set inside the expression, so texts are not
     shuffled. A longer list is joined with the exploded tokens, and each text is put
     together again in token order; a text comes from one row, so its group is bounded by it.
     """
     words = words.select("word").where(F.col("word").isNotNull()).distinct()
-    head = words.limit(INLINE_WORDS + 1).collect()
-    if len(head) <= INLINE_WORDS:
+    head = words.limit(inline_words + 1).collect()
+    if len(head) <= inline_words:
         return remove_words(df, (row["word"] for row in head), separator, column)
 
     tokens = df.select(

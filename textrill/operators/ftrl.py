@@ -84,14 +84,13 @@ def is_label(label: str) -> str:
     return f"(CASE WHEN y = {linear.text(label)} THEN 1.0D ELSE 0.0D END)"
 
 
-def _one_pass(
+def _gradients(
     feats: DataFrame, state: DataFrame, state_rows: int, labels: Sequence[str], cfg: FtrlConfig
 ) -> DataFrame:
-    """L2-L4. The state of the batch's coordinates after one pass over the batch.
+    """L2. Feature rows with the state of their coordinate and a gradient ``g{p}`` per label.
 
     Per text, the margins are sums over its own feature rows; a text was one input row, so
-    the window holds no more than that. Per coordinate, the updates are summed on the map
-    side first, so what is shuffled does not grow with how often a term occurs.
+    the window holds no more than that.
     """
     size = range(len(labels))
     joined = lookup_join(
@@ -106,7 +105,8 @@ def _one_pass(
     scored = joined.selectExpr(
         "*", *(f"sum(v * {_at('w', p)}) OVER (PARTITION BY id) AS m{p}" for p in size)
     )
-    gradients = scored.where("idx IS NOT NULL").selectExpr(
+    return scored.where("idx IS NOT NULL").selectExpr(
+        "id",
         "idx",
         "z",
         "n",
@@ -116,6 +116,36 @@ def _one_pass(
             for p, label in enumerate(labels)
         ),
     )
+
+
+def row_updates(
+    feats: DataFrame,
+    state: DataFrame,
+    state_rows: int,
+    labels: Sequence[str],
+    cfg: FtrlConfig = FtrlConfig(),
+) -> DataFrame:
+    """L3. What each feature row adds to each label's state, ``(id, label, idx, dz, dn)``."""
+    rows = (
+        f"named_struct('label', {linear.text(label)}, "
+        f"'dz', {linear.ftrl_delta_z(f'g{p}', _at('n', p), _at('w', p), cfg)}, "
+        f"'dn', {linear.ftrl_delta_n(f'g{p}')})"
+        for p, label in enumerate(labels)
+    )
+    gradients = _gradients(feats, state, state_rows, labels, cfg)
+    return gradients.selectExpr("id", "idx", f"inline({_array(rows)})")
+
+
+def _one_pass(
+    feats: DataFrame, state: DataFrame, state_rows: int, labels: Sequence[str], cfg: FtrlConfig
+) -> DataFrame:
+    """L3, L4. The state of the batch's coordinates after one pass over the batch.
+
+    The updates of a coordinate are summed on the map side first, so what is shuffled does
+    not grow with how often a term occurs.
+    """
+    size = range(len(labels))
+    gradients = _gradients(feats, state, state_rows, labels, cfg)
     updates = []
     for p in size:
         z, n, w, g = _at("z", p), _at("n", p), _at("w", p), f"g{p}"

@@ -13,26 +13,22 @@ def word_weights(docs: DataFrame) -> DataFrame:
     """``(y, word, mi)`` with mi = P(c) * log2(P(w, c) / (P(w) P(c))).
 
     P(w) is the share of tokens, P(c) the share of texts, P(w, c) the share of texts that
-    are of class c and hold w. Counts are combined on the map side; token and text counts of
-    a word come from the same aggregate.
+    are of class c and hold w. All counts are combined on the map side; a word's texts are
+    counted without an exchange by text, as repeats are dropped inside the row.
     """
-    classes = docs.groupBy("y").agg(F.count("*").alias("n"))
-    sizes = classes.collect()
+    sizes = docs.groupBy("y").agg(F.count("*").alias("n")).collect()
     texts = sum(row["n"] for row in sizes)
-    shares = F.create_map(
-        *(F.lit(v) for row in sizes for v in (row["y"], row["n"] / texts))
+    shares = F.create_map(*(F.lit(v) for row in sizes for v in (row["y"], row["n"] / texts)))
+    per_class = (
+        docs.select("y", F.explode(F.array_distinct("tokens")).alias("word"))
+        .groupBy("y", "word")
+        .agg(F.count("*").alias("texts"))
     )
-    # a token counts for P(w) always, for P(w, c) at its first place in the text
-    tokens = docs.select(
-        "y",
-        F.explode(F.transform(F.array_distinct("tokens"), lambda w: F.struct(
-            w.alias("word"), F.size(F.filter("tokens", lambda t: t == w)).alias("times")
-        ))).alias("w"),
-    )
-    per_class = tokens.groupBy("y", "w.word").agg(
-        F.count("*").alias("texts"), F.sum("w.times").alias("tokens")
+    per_word = (
+        docs.select(F.explode("tokens").alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("word_tokens"))
     )
-    per_word = per_class.groupBy("word").agg(F.sum("tokens").alias("word_tokens"))
     total = docs.agg(F.sum(F.size("tokens")).alias("n")).first()["n"]
     joined = per_class.join(per_word, "word")
     p_c = shares[F.col("y")]
