@@ -315,7 +315,7 @@ def s10(spark, sf):
     """A stream stopped and started again goes on after the files it has read."""
     source, sink = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
     progress = scratch_path(spark, "progress")
-    docs = batched(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), 2)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
     def append(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
@@ -808,9 +808,9 @@ def l6(spark, sf):
     return _state(state, labels)
 
 
-def _run_embeddings(spark, sf, rows: DataFrame, batches: int) -> ModelStore:
+def _run_embeddings(spark, parts) -> ModelStore:
     store = ModelStore(spark, scratch_path(spark, "model"))
-    return prequential.run(store, prequential.split_batches(rows, batches), features.dense)
+    return prequential.run(store, parts, features.dense)
 
 
 BINARY = "CASE WHEN label = 0 THEN 'yes' ELSE 'no' END"
@@ -820,7 +820,7 @@ _binary_sql, _ = sql.prequential("rows", "feats", 2, "BIGINT", before=sql.embedd
 @once("binary_model")
 def binary_model(spark, sf):
     rows = embeddings(spark, sf).withColumn("y", F.when(F.col("y") == "0", "yes").otherwise("no"))
-    return _run_embeddings(spark, sf, batched(rows, 2), 2), rows
+    return _run_embeddings(spark, prequential.split_batches(rows, 2)), rows
 
 
 @query("l7_warm_start", _binary_sql + sql.STATE)
@@ -864,7 +864,7 @@ _two_sql, _ = sql.prequential(
 @query("l8_l9_new_and_absent_labels", _two_sql + sql.STATE)
 def l8(spark, sf):
     rows = embeddings(spark, sf).withColumn("batch", (F.col("y").cast("int") >= 5).cast("int"))
-    model = _run_embeddings(spark, sf, rows, 2).latest()
+    model = _run_embeddings(spark, prequential.given_batches(rows, 2)).latest()
     return _state(model.state, model.labels)
 
 
@@ -957,13 +957,13 @@ _text_sql, _ = sql.prequential(
 
 @once("prequential_vectors")
 def prequential_vectors(spark, sf) -> ModelStore:
-    return _run_embeddings(spark, sf, batched(embeddings(spark, sf)), BATCHES)
+    return _run_embeddings(spark, prequential.split_batches(embeddings(spark, sf), BATCHES))
 
 
 @once("prequential_text")
 def prequential_text(spark, sf) -> ModelStore:
     store = ModelStore(spark, scratch_path(spark, "model"))
-    parts = prequential.split_batches(batched(raw_documents(spark, sf)), BATCHES)
+    parts = prequential.split_batches(raw_documents(spark, sf), BATCHES)
     return prequential.run(store, parts, features.featuriser(TEXT))
 
 
@@ -1038,7 +1038,7 @@ def p3_stream_topics(spark, sf):
 def _streamed(spark, sf) -> ModelStore:
     store = ModelStore(spark, scratch_path(spark, "model"))
     source, progress = scratch_path(spark, "arriving"), scratch_path(spark, "progress")
-    for _, part in prequential.split_batches(batched(raw_documents(spark, sf)), BATCHES):
+    for _, part in prequential.split_batches(raw_documents(spark, sf), BATCHES):
         part.write.mode("append").parquet(source)
         stream = line_io.stream_table(spark, source, "id BIGINT, y STRING, text STRING")
         learning.prequential_stream(
@@ -1053,7 +1053,7 @@ def p3_growing(spark, sf):
     store = ModelStore(spark, scratch_path(spark, "model"))
     base = materialise(f6(spark, sf), "base")
     run = learning.growing_vectors(store, base, replace(TEXT, vector_size=SIZE))
-    parts = prequential.split_batches(batched(raw_documents(spark, sf), 3), 3)
+    parts = prequential.split_batches(raw_documents(spark, sf), 3)
     return _metrics(prequential.run(store, parts, run))
 
 
@@ -1078,14 +1078,17 @@ _p4_sql, _ = sql.prequential(
 
 @once("side_labels")
 def side_labels(spark, sf) -> ModelStore:
-    docs = batched(raw_documents(spark, sf).drop("y"))
+    docs = raw_documents(spark, sf).drop("y")
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("y")
     )
-    rows = labelled.attach_labels(docs, labels)
+    parts = (
+        (batch_id, labelled.attach_labels(part, labels))
+        for batch_id, part in prequential.split_batches(docs, BATCHES)
+    )
     run = features.featuriser(replace(TEXT, featuriser="word_vectors"), base_vectors(spark, sf))
     store = ModelStore(spark, scratch_path(spark, "model"))
-    return prequential.run(store, prequential.split_batches(rows, BATCHES), run)
+    return prequential.run(store, parts, run)
 
 
 @query("p4_side_labels", _p4_sql + sql.METRICS)
@@ -1127,7 +1130,7 @@ _p2_margins = ", ".join(f"{name} AS MATERIALIZED ({body})" for name, body in sql
 def p2(spark, sf):
     online = classifier.OnlineClassifier(spark)
     rows = embeddings(spark, sf)
-    for _, part in prequential.split_batches(batched(rows, 2), 2):
+    for _, part in prequential.split_batches(rows, 2):
         online.train(part)
     return online.predict_probability(rows).withColumn("prob", r6("prob"))
 
@@ -1333,7 +1336,7 @@ for _b in range(3):
 @once("streaming_logistic")
 def streaming_logistic(spark, sf):
     """Three files arrive one after the other; the model goes on from each to the next."""
-    rows = batched(embeddings(spark, sf), 3).withColumn("y", labelled.binary_label(F.col("y")))
+    rows = embeddings(spark, sf).withColumn("y", labelled.binary_label(F.col("y")))
     width = sgd.width_of(rows)
     model = learning.StreamingLogistic(spark, scratch_path(spark, "model"), STREAM_SGD)
     model.set_initial_weights([0.0] * width)

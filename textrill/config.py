@@ -15,7 +15,7 @@ class JoinPolicy:
         pieces of at most that share. At most ``1 / hot_share`` keys can be hot.
     """
 
-    broadcast_bytes: int = 128 << 20
+    broadcast_bytes: int = 256 << 20
     hot_share: float = 0.001
 
 

@@ -13,12 +13,28 @@ KEPT_CHARACTERS = "a-z|A-Z|0-9"
 DEFAULT_SEPARATOR = " "
 
 
+def separator_characters(separator: str) -> str | None:
+    """The characters a separator stands for, if it is one character or a plain set of them."""
+    inner = separator[1:-1] if separator[:1] == "[" and separator[-1:] == "]" else separator
+    plain = inner and not any(c in "\\[](){}.*+?^$|-&" for c in inner)
+    return inner if plain and (inner != separator or len(inner) == 1) else None
+
+
 def java_split(text: Column, separator: str = DEFAULT_SEPARATOR) -> Column:
     """T0. Split on a regular expression and drop trailing empty strings.
 
     Inner and leading empties stay. A text without any separator comes back as its only
     token, also the empty text; a text of separators alone gives no tokens.
     """
+    characters = separator_characters(separator)
+    if characters is not None:
+        # dropping trailing empty strings is dropping trailing separators
+        kept = F.rtrim(text, F.lit(characters))
+        return (
+            F.when(text == "", F.array(F.lit("")))
+            .when(kept == "", F.array().cast("array<string>"))
+            .otherwise(F.split(kept, separator, -1))
+        )
 
     def without_trailing_empties(parts: Column) -> Column:
         filled = F.transform(F.reverse(parts), lambda part: part != "")
@@ -34,6 +50,11 @@ def java_split(text: Column, separator: str = DEFAULT_SEPARATOR) -> Column:
 
 def clear(text: Column, separator: str = DEFAULT_SEPARATOR) -> Column:
     """T1. Separators become single spaces; trailing empty tokens vanish."""
+    characters = separator_characters(separator)
+    if characters is not None:
+        kept = F.rtrim(text, F.lit(characters))
+        others = characters.replace(" ", "")
+        return F.translate(kept, others, " " * len(others)) if others else kept
     return F.array_join(java_split(text, separator), " ")
 
 
@@ -42,12 +63,12 @@ def keep_plain_characters(text: Column, separator: str = DEFAULT_SEPARATOR) -> C
 
     A token left empty stays as an empty token.
     """
-    if separator == DEFAULT_SEPARATOR:
+    if separator_characters(separator) is not None and " " in separator:
         # no token holds a space, so one replacement over the joined text does the same
-        return F.regexp_replace(clear(text), f"[^{KEPT_CHARACTERS} ]", "")
+        return F.regexp_replace(clear(text, separator), f"[^{KEPT_CHARACTERS} ]+", "")
     tokens = F.transform(
         java_split(text, separator),
-        lambda token: F.regexp_replace(token, f"[^{KEPT_CHARACTERS}]", ""),
+        lambda token: F.regexp_replace(token, f"[^{KEPT_CHARACTERS}]+", ""),
     )
     return F.array_join(tokens, " ")
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from textrill.config import FtrlConfig, JoinPolicy
 from textrill.functions import linear
-from textrill.operators.joins import fits_broadcast, lookup_join, partitions
+from textrill.operators.joins import fits_broadcast, hot_keys, lookup_join, partitions
 
 
 def by_text(feats: DataFrame) -> DataFrame:
@@ -60,22 +60,29 @@ def _at(column: str, position: int) -> str:
     return f"coalesce(get({column}, {position}), 0.0D)"
 
 
+def _or_zero(column: str) -> str:
+    return f"coalesce({column}, 0.0D)"
+
+
 def _array(items: Iterable[str]) -> str:
     return f"array({', '.join(items)})"
 
 
 def _row_bytes(labels: int) -> int:
-    return 64 + 3 * (32 + 8 * labels)
+    return 96 + 24 * labels
 
 
-def weights(state: DataFrame, positions: Sequence[int], cfg: FtrlConfig) -> DataFrame:
-    """L1. ``state`` narrowed to some label positions, with the weights ``w`` beside it."""
-    w = (linear.ftrl_weight(_at("z", p), _at("n", p), cfg) for p in positions)
+def _columns(state: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """The state of some labels as plain columns ``z0, n0, z1, ...``, the form of the passes."""
     return state.selectExpr(
-        "idx",
-        f"{_array(_at('z', p) for p in positions)} AS z",
-        f"{_array(_at('n', p) for p in positions)} AS n",
-        f"{_array(w)} AS w",
+        "idx", *(f"{_at(c, p)} AS {c}{k}" for k, p in enumerate(positions) for c in "zn")
+    )
+
+
+def _with_weights(columns: DataFrame, labels: int, cfg: FtrlConfig) -> DataFrame:
+    """L1. Weight columns ``w0, w1, ...`` beside the state columns."""
+    return columns.selectExpr(
+        "*", *(f"{linear.ftrl_weight(f'z{p}', f'n{p}', cfg)} AS w{p}" for p in range(labels))
     )
 
 
@@ -85,7 +92,12 @@ def is_label(label: str) -> str:
 
 
 def _gradients(
-    feats: DataFrame, state: DataFrame, state_rows: int, labels: Sequence[str], cfg: FtrlConfig
+    feats: DataFrame,
+    columns: DataFrame,
+    state_rows: int,
+    labels: Sequence[str],
+    cfg: FtrlConfig,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """L2. Feature rows with the state of their coordinate and a gradient ``g{p}`` per label.
 
@@ -95,22 +107,22 @@ def _gradients(
     size = range(len(labels))
     joined = lookup_join(
         feats,
-        weights(state, size, cfg),
+        _with_weights(columns, len(labels), cfg),
         "idx",
         right_rows=state_rows,
         row_bytes=_row_bytes(len(labels)),
         spread=F.col("id"),
         policy=cfg.join,
+        hot=hot,
     )
-    scored = joined.selectExpr(
-        "*", *(f"sum(v * {_at('w', p)}) OVER (PARTITION BY id) AS m{p}" for p in size)
+    known = [f"{_or_zero(f'{c}{p}')} AS {c}{p}" for p in size for c in "znw"]
+    scored = joined.selectExpr("id", "y", "idx", "v", *known).selectExpr(
+        "*", *(f"sum(v * w{p}) OVER (PARTITION BY id) AS m{p}" for p in size)
     )
     return scored.where("idx IS NOT NULL").selectExpr(
         "id",
         "idx",
-        "z",
-        "n",
-        "w",
+        *(f"{c}{p}" for p in size for c in "znw"),
         *(
             f"({linear.logistic(f'm{p}')} - {is_label(label)}) * v AS g{p}"
             for p, label in enumerate(labels)
@@ -128,44 +140,38 @@ def row_updates(
     """L3. What each feature row adds to each label's state, ``(id, label, idx, dz, dn)``."""
     rows = (
         f"named_struct('label', {linear.text(label)}, "
-        f"'dz', {linear.ftrl_delta_z(f'g{p}', _at('n', p), _at('w', p), cfg)}, "
+        f"'dz', {linear.ftrl_delta_z(f'g{p}', f'n{p}', f'w{p}', cfg)}, "
         f"'dn', {linear.ftrl_delta_n(f'g{p}')})"
         for p, label in enumerate(labels)
     )
-    gradients = _gradients(feats, state, state_rows, labels, cfg)
+    columns = _columns(state, range(len(labels)))
+    gradients = _gradients(feats, columns, state_rows, labels, cfg)
     return gradients.selectExpr("id", "idx", f"inline({_array(rows)})")
 
 
 def _one_pass(
-    feats: DataFrame, state: DataFrame, state_rows: int, labels: Sequence[str], cfg: FtrlConfig
+    feats: DataFrame,
+    columns: DataFrame,
+    state_rows: int,
+    labels: Sequence[str],
+    cfg: FtrlConfig,
+    hot: DataFrame | None,
 ) -> DataFrame:
-    """L3, L4. The state of the batch's coordinates after one pass over the batch.
+    """L3, L4. The state columns of the batch's coordinates after one pass over the batch.
 
     The updates of a coordinate are summed on the map side first, so what is shuffled does
     not grow with how often a term occurs.
     """
-    size = range(len(labels))
-    gradients = _gradients(feats, state, state_rows, labels, cfg)
+    gradients = _gradients(feats, columns, state_rows, labels, cfg, hot)
     updates = []
-    for p in size:
-        z, n, w, g = _at("z", p), _at("n", p), _at("w", p), f"g{p}"
+    for p in range(len(labels)):
+        z, n, w, g = f"z{p}", f"n{p}", f"w{p}", f"g{p}"
         # all rows of a coordinate carry the same state: max picks it
         updates += [
-            F.expr(f"max({z}) + sum({linear.ftrl_delta_z(g, n, w, cfg)}) AS z{p}"),
-            F.expr(f"max({n}) + sum({linear.ftrl_delta_n(g)}) AS n{p}"),
+            F.expr(f"max({z}) + sum({linear.ftrl_delta_z(g, n, w, cfg)}) AS {z}"),
+            F.expr(f"max({n}) + sum({linear.ftrl_delta_n(g)}) AS {n}"),
         ]
-    summed = gradients.groupBy("idx").agg(*updates)
-    return summed.selectExpr(
-        "idx", f"{_array(f'z{p}' for p in size)} AS z", f"{_array(f'n{p}' for p in size)} AS n"
-    )
-
-
-def _pick(state: DataFrame, positions: Sequence[int]) -> DataFrame:
-    return state.selectExpr(
-        "idx",
-        f"{_array(_at('z', p) for p in positions)} AS z",
-        f"{_array(_at('n', p) for p in positions)} AS n",
-    )
+    return gradients.groupBy("idx").agg(*updates)
 
 
 def touched_rows(feats: DataFrame, feature_rows: int, labels: int, cfg: FtrlConfig) -> int:
@@ -198,13 +204,17 @@ def train(
         range(start, min(start + cfg.label_chunk, len(labels)))
         for start in range(0, len(labels), cfg.label_chunk)
     ]
+    widest = _row_bytes(min(len(labels), cfg.label_chunk))
+    shuffled = not fits_broadcast(max(touched, state_rows), widest, cfg.join)
+    hot = hot_keys(feats, "idx", cfg.join) if shuffled else None
     trained = []
     for group in groups:
-        part, rows = _pick(state, group), state_rows
+        part, rows = _columns(state, group), state_rows
         for _ in range(passes):
-            part = _one_pass(feats, part, rows, [labels[p] for p in group], cfg)
+            part = _one_pass(feats, part, rows, [labels[p] for p in group], cfg, hot)
             rows = touched
-        trained.append(part)
+        z, n = (_array(f"{c}{k}" for k in range(len(group))) for c in "zn")
+        trained.append(part.selectExpr("idx", f"{z} AS z", f"{n} AS n"))
     batch = reduce(_side_by_side, trained)
     old = state.select("idx", F.col("z").alias("_z"), F.col("n").alias("_n"))
     merged = batch.join(old, "idx", "full_outer")
@@ -230,14 +240,16 @@ def margins(
     cfg: FtrlConfig = FtrlConfig(),
 ) -> DataFrame:
     """Margins of all labels per text, ``(id, y, margin ARRAY)``."""
-    table = weights(state, range(len(labels)), cfg).select("idx", "w")
+    size = range(len(labels))
+    columns = _with_weights(_columns(state, size), len(labels), cfg)
+    table = columns.select("idx", *(f"w{p}" for p in size))
     return linear_margins(feats, table, state_rows, len(labels), cfg.join)
 
 
 def linear_margins(
     feats: DataFrame, table: DataFrame, table_rows: int, models: int, policy: JoinPolicy
 ) -> DataFrame:
-    """Weighted sums per text, ``(id, y, margin ARRAY)``, of a table ``(idx, w ARRAY)``."""
+    """Weighted sums per text, ``(id, y, margin ARRAY)``, of a table ``(idx, w0, w1, ...)``."""
     joined = lookup_join(
         feats,
         table,
@@ -248,7 +260,7 @@ def linear_margins(
         policy=policy,
     )
     summed = joined.groupBy("id", "y").agg(
-        *(F.expr(f"sum(v * {_at('w', p)}) AS m{p}") for p in range(models))
+        *(F.expr(f"sum(v * {_or_zero(f'w{p}')}) AS m{p}") for p in range(models))
     )
     return summed.selectExpr("id", "y", f"{_array(f'm{p}' for p in range(models))} AS margin")
 

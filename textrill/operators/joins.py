@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
+from textrill.session import shared_dir
 
 
 def partitions(df: DataFrame) -> int:
@@ -31,8 +32,9 @@ def hot_keys(left: DataFrame, key: str, policy: JoinPolicy) -> DataFrame:
     Counting is combined on the map side. Shares add up to 1, so there are at most
     ``1 / hot_share`` such keys, whatever the data: the result may always be broadcast.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = left.agg(F.count("*").alias("_total")).first()["_total"]
+    shared_dir(left.sparkSession)
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows")).checkpoint()
+    total = counts.agg(F.sum("_rows").alias("_total")).first()["_total"] or 0
     piece = max(1.0, total * policy.hot_share)
     return counts.where((F.col("_rows") > piece) & F.col(key).isNotNull()).select(
         F.col(key), F.ceil(F.col("_rows") / piece).cast("int").alias("_pieces")
@@ -49,29 +51,31 @@ def lookup_join(
     spread: Column,
     policy: JoinPolicy,
     how: str = "left",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per ``key``.
 
     If the counted size of ``right`` is within the policy, it is broadcast and ``left`` is
     not shuffled. Otherwise both are shuffled on the key and a salt: rows of a hot key are
     spread by ``spread`` over as many pieces as it needs, and only those keys are repeated
-    in ``right``. Rows without a key are spread as well, as they match nothing.
+    in ``right``. Rows without a key are spread as well, as they match nothing. ``hot`` saves
+    counting the keys again where the caller joins the same rows several times.
     """
     if fits_broadcast(right_rows, row_bytes, policy):
         return left.join(F.broadcast(right), key, how)
 
-    hot = hot_keys(left, key, policy)
+    hot = F.broadcast(hot_keys(left, key, policy) if hot is None else hot)
     no_key_pieces = math.ceil(1 / policy.hot_share)
     pieces = F.when(F.col(key).isNull(), no_key_pieces).otherwise(
         F.coalesce(F.col("_pieces"), F.lit(1))
     )
     salted_left = (
-        left.join(F.broadcast(hot), key, "left")
+        left.join(hot, key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), pieces).cast("int"))
         .drop("_pieces")
     )
     salted_right = (
-        right.join(F.broadcast(hot), key, "left")
+        right.join(hot, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
         .drop("_pieces")
     )

@@ -79,13 +79,16 @@ def document_vectors(
     words = word_vec.count() if words is None else words
     row_bytes = 64 + 4 * size
     tokens = docs.select(
-        "id", *carry, F.size("tokens").alias("_n"), F.explode_outer("tokens").alias("word")
+        "id",
+        *carry,
+        F.size("tokens").alias("_n"),
+        F.posexplode_outer("tokens").alias("_pos", "word"),
     )
     if fits_broadcast(words, row_bytes, policy):
         tokens = tokens.withColumn("_tf", F.lit(1.0))
     else:
         tokens = tokens.groupBy("id", *carry, "_n", "word").agg(
-            F.count("*").cast("double").alias("_tf")
+            F.count("*").cast("double").alias("_tf"), F.min("_pos").alias("_pos")
         )
     met = lookup_join(
         tokens,
@@ -100,6 +103,8 @@ def document_vectors(
         F.expr(f"sum(coalesce(CAST(get(vec, {p}) AS DOUBLE), 0.0D) * _tf) AS s{p}")
         for p in range(size)
     )
+    # unknown words add nothing; the first token stands for texts that know none
+    met = met.where("vec IS NOT NULL OR _pos IS NULL OR _pos = 0")
     summed = met.groupBy("id", *carry, "_n").agg(*sums)
     means = ", ".join(f"coalesce(try_divide(s{p}, CAST(_n AS DOUBLE)), 0.0D)" for p in range(size))
     return summed.selectExpr("id", *carry, f"array({means}) AS features")

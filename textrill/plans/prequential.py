@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig
 from textrill.operators import ftrl, metrics
+from textrill.operators.joins import partitions
 from textrill.sources.model_store import Model, ModelStore, Score
 
 Featurise = Callable[[DataFrame, int], DataFrame]
@@ -28,9 +29,12 @@ def step(
     accuracy fell by more than ``drift_drop``, the batch is trained a second time. An empty
     batch is skipped.
     """
-    feats = ftrl.by_text(featurise(batch, batch_id)).persist()
+    # read once, spread by text: the featuriser and all passes work on these partitions
+    texts = batch.repartition(partitions(batch), "id").persist()
+    feats = ftrl.by_text(featurise(texts, batch_id)).persist()
     try:
         by_label = ftrl.label_rows(feats)
+        texts.unpersist()
         if not by_label:
             return None
         prior = store.latest(before=batch_id)
@@ -51,6 +55,7 @@ def step(
         first = (prior.first_batch if prior else []) + [batch_id] * (len(labels) - len(known))
         return store.commit(batch_id, state, labels, first, cfg, score)
     finally:
+        texts.unpersist()
         feats.unpersist()
 
 
@@ -88,7 +93,18 @@ def with_batch(df: DataFrame, batches: int, order: str = "id") -> DataFrame:
     return df.withColumn("batch", F.floor(position / width).cast("int"))
 
 
-def split_batches(df: DataFrame, batches: int) -> Iterable[tuple[int, DataFrame]]:
+def split_batches(
+    df: DataFrame, batches: int, order: str = "id"
+) -> Iterable[tuple[int, DataFrame]]:
+    """The same ranges one by one, each as a filter that reaches the scan."""
+    bounds = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    low, width = bounds["low"], bounds["high"] - bounds["low"] + 1
+    for batch_id in range(batches):
+        start, end = (low + -(-b * width // batches) for b in (batch_id, batch_id + 1))
+        yield batch_id, df.where((F.col(order) >= start) & (F.col(order) < end))
+
+
+def given_batches(df: DataFrame, batches: int) -> Iterable[tuple[int, DataFrame]]:
     """The batches of a table that has a ``batch`` column, in order."""
     for batch_id in range(batches):
         yield batch_id, df.where(F.col("batch") == batch_id).drop("batch")
