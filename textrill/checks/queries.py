@@ -116,7 +116,7 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def long(features_table: DataFrame, *keys: str) -> DataFrame:
-    return features_table.select(*keys, F.posexplode("features").alias("pos", "x"))
+    return features_table.select(*keys, F.posexplode_outer("features").alias("pos", "x"))
 
 
 # --- sources and sinks ------------------------------------------------------------------

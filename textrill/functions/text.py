@@ -53,8 +53,9 @@ def clear(text: Column, separator: str = DEFAULT_SEPARATOR) -> Column:
     characters = separator_characters(separator)
     if characters is not None:
         kept = F.rtrim(text, F.lit(characters))
-        others = characters.replace(" ", "")
-        return F.translate(kept, others, " " * len(others)) if others else kept
+        for character in characters.replace(" ", ""):
+            kept = F.replace(kept, F.lit(character), F.lit(" "))
+        return kept
     return F.array_join(java_split(text, separator), " ")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
 from textrill.operators.joins import lookup_join
+from textrill.operators.tfidf import exploded
 
 
 def word_weights(docs: DataFrame) -> DataFrame:
@@ -20,12 +21,12 @@ def word_weights(docs: DataFrame) -> DataFrame:
     texts = sum(row["n"] for row in sizes)
     shares = F.create_map(*(F.lit(v) for row in sizes for v in (row["y"], row["n"] / texts)))
     per_class = (
-        docs.select("y", F.explode(F.array_distinct("tokens")).alias("word"))
+        exploded(docs, F.array_distinct("tokens"), "word", ["y"])
         .groupBy("y", "word")
         .agg(F.count("*").alias("texts"))
     )
     per_word = (
-        docs.select(F.explode("tokens").alias("word"))
+        exploded(docs, F.col("tokens"), "word")
         .groupBy("word")
         .agg(F.count("*").alias("word_tokens"))
     )

@@ -20,6 +20,17 @@ from textrill.session import shared_dir
 TERM_BYTES = 64
 
 
+def exploded(
+    docs: DataFrame, values: Column, name: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """One row per array value.
+
+    Written as an outer explode with a filter after it: for a plain explode the optimiser
+    infers a filter on the array below it and works out the tokens of every text again there.
+    """
+    return docs.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def _index(term: Column, buckets: int | None) -> Column:
     if buckets is None:
         return term
@@ -51,7 +62,7 @@ def document_frequency(
         if buckets is None
         else F.transform("tokens", lambda term: tx.hash_bucket(term, buckets))
     )
-    seen = docs.select(*by, F.explode(F.array_distinct(indexes)).alias("idx"))
+    seen = exploded(docs, F.array_distinct(indexes), "idx", by)
     return seen.groupBy(*by, "idx").agg(F.count("*").alias("df"))
 
 
@@ -113,11 +124,11 @@ def tfidf_by_batch(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """F12. Distinct terms of a corpus."""
-    return docs.select(F.explode("tokens").alias("term")).distinct()
+    """F12. Distinct terms of a corpus; repeats within a text go before the exchange."""
+    return exploded(docs, F.array_distinct("tokens"), "term").distinct()
 
 
 def word_set(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """F13. Binary bag of words: one row with v = 1.0 per (text, distinct term)."""
-    terms = docs.select("id", *carry, F.explode(F.array_distinct("tokens")).alias("term"))
+    terms = exploded(docs, F.array_distinct("tokens"), "term", ["id", *carry])
     return terms.withColumn("v", F.lit(1.0))

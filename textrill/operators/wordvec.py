@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textrill.config import JoinPolicy
 from textrill.operators.joins import fits_broadcast, lookup_join
 from textrill.operators.labelled import with_ordinal
+from textrill.operators.tfidf import exploded
 
 
 def train_word_vectors(
@@ -118,7 +119,7 @@ def unfamiliar_texts(
     A text is kept or dropped as one group of its own tokens, marked by one lookup.
     """
     known = base.select("word", F.lit(1).alias("_known"))
-    tokens = docs.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
+    tokens = exploded(docs, F.array_distinct("tokens"), "word", ["id"])
     marked = lookup_join(
         tokens,
         known,
@@ -135,7 +136,7 @@ def unfamiliar_texts(
 def corpus_vocabulary(docs: DataFrame) -> DataFrame:
     """F9. Words with their counts, no minimum."""
     return (
-        docs.select(F.explode("tokens").alias("word"))
+        exploded(docs, F.col("tokens"), "word")
         .groupBy("word")
         .agg(F.count("*").alias("cn"))
     )
