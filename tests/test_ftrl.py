@@ -80,7 +80,7 @@ def test_drift_trains_twice(spark):
 
 
 def test_first_pass_from_zero(spark):
-    feats = ftrl.by_text(ftrl.dense_features(table(spark, [[2.0, -1.0]], ["a"]))).persist()
+    feats = ftrl.by_text(ftrl.dense_features(table(spark, [[2.0, -1.0]], ["a"])), 1).persist()
     empty = ftrl.empty_state(spark, feats.schema["idx"].dataType)
     state = ftrl.train(feats, empty, 0, ["a"], passes=1)
     rows = {r["idx"]: (r["z"][0], r["n"][0]) for r in state.collect()}
@@ -164,7 +164,7 @@ def test_save_and_load(spark):
 
 
 def test_passes_need_no_exchange_of_the_texts(spark):
-    feats = ftrl.by_text(ftrl.dense_features(table(spark, *data(1)))).persist()
+    feats = ftrl.by_text(ftrl.dense_features(table(spark, *data(1))), 1000).persist()
     feats.count()
     empty = ftrl.empty_state(spark, feats.schema["idx"].dataType)
     plan = ftrl.train(feats, empty, 0, ["a", "b"])._jdf.queryExecution().executedPlan().toString()

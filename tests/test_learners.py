@@ -24,7 +24,7 @@ def frame(spark, x, t):
 
 def test_logistic_steps_equal_the_library(spark):
     x, t = points()
-    for step, iterations in ((0.1, 10), (1.0, 100)):
+    for step, iterations in ((0.1, 10), (1.0, 25)):
         cfg = SgdConfig(step=step, iterations=iterations)
         got = sgd.train(frame(spark, x, t), np.zeros((1, 5)), cfg)[0]
         data = spark.sparkContext.parallelize([LabeledPoint(b, a) for a, b in zip(x, t)], 2)
@@ -34,9 +34,9 @@ def test_logistic_steps_equal_the_library(spark):
 
 def test_hinge_steps_equal_the_library(spark):
     x, t = points(4)
-    got = sgd.train(frame(spark, x, t), np.zeros((1, 5)), SgdConfig(loss="hinge"))[0]
+    got = sgd.train(frame(spark, x, t), np.zeros((1, 5)), SgdConfig(loss="hinge", iterations=30))[0]
     data = spark.sparkContext.parallelize([LabeledPoint(b, a) for a, b in zip(x, t)], 2)
-    want = SVMWithSGD.train(data, 100, initialWeights=np.zeros(5))
+    want = SVMWithSGD.train(data, 30, initialWeights=np.zeros(5))
     assert np.allclose(got, want.weights.toArray(), atol=1e-9)
 
 
@@ -63,7 +63,7 @@ def labelled_points(spark):
 
 def test_cascade(spark):
     rows, labels = labelled_points(spark)
-    model = multiclass.fit_cascade(rows, labels)
+    model = multiclass.fit_cascade(rows, labels, SgdConfig(loss="hinge", iterations=30))
     assert model.weights.shape == (3, 3)
     sizes = multiclass.level_sizes(rows, labels).orderBy("level").collect()
     assert [(r["label"], r["rows"]) for r in sizes] == [("1", 60), ("2", 45), ("3", 30)]

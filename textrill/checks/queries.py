@@ -681,7 +681,7 @@ def d7(spark, sf):
 
 
 def _feats(rows: DataFrame) -> DataFrame:
-    return ftrl.by_text(ftrl.dense_features(rows))
+    return ftrl.by_text(ftrl.dense_features(rows), rows.count())
 
 
 def _empty(feats: DataFrame) -> DataFrame:

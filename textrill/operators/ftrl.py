@@ -21,12 +21,12 @@ from textrill.functions import linear
 from textrill.operators.joins import fits_broadcast, hot_keys, lookup_join, partitions
 
 
-def by_text(feats: DataFrame) -> DataFrame:
-    """Spread feature rows by text and keep each text's rows together.
+def by_text(feats: DataFrame, texts: int) -> DataFrame:
+    """Spread the feature rows of ``texts`` texts by text, each text's rows together.
 
     Persisted in this form, the sums per text that every pass needs run without an exchange.
     """
-    return feats.repartition(partitions(feats), "id").sortWithinPartitions("id")
+    return feats.repartition(partitions(feats, texts), "id").sortWithinPartitions("id")
 
 
 def dense_features(rows: DataFrame, column: str = "features") -> DataFrame:

@@ -16,9 +16,18 @@ from textrill.config import JoinPolicy
 from textrill.session import shared_dir
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session: tables to be joined are spread over as many."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# texts per partition below which more partitions cost more than they save
+TEXTS_PER_PARTITION = 250
+
+
+def partitions(df: DataFrame, texts: int) -> int:
+    """Partitions to spread a batch of ``texts`` texts over.
+
+    The session's shuffle partitions, which are set for large batches; fewer for a small
+    one, whose tasks would otherwise do next to nothing.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, math.ceil(texts / TEXTS_PER_PARTITION)))
 
 
 def fits_broadcast(rows: int, row_bytes: int, policy: JoinPolicy) -> bool:

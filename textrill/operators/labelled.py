@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from textrill.session import shared_dir
 
+# fixed value: the increasing id holds the partition above these bits, the row below
+RANGE_BITS = 33
+
 
 def attach_labels(docs: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """S5. Labels ``(key, y)`` from a side table; documents without one drop out."""
@@ -18,14 +21,16 @@ def attach_labels(docs: DataFrame, labels: DataFrame, key: str = "id") -> DataFr
 def with_ordinal(
     df: DataFrame, order: Sequence[str | Column], name: str = "ordinal"
 ) -> DataFrame:
-    """S5. An explicit position from 0, for side files that match only by order.
+    """S5, F9. An explicit position from 0, for side files that match only by order.
 
     The sort spreads rows in ranges; a row's position is its place in its range plus the
-    rows of the ranges before, so no task sees more than a range.
+    rows of the ranges before. The increasing id holds both, range and place, so beyond the
+    sort nothing is shuffled but one count per range.
     """
     shared_dir(df.sparkSession)
-    ranged = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    ranged = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    of_range = F.shiftright("_at", RANGE_BITS)
+    sizes = ranged.groupBy(of_range.alias("_range")).agg(F.count("*").alias("_rows"))
     # one row per range of the sort
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
@@ -33,11 +38,12 @@ def with_ordinal(
     starts = sizes.select(
         "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    place = F.col("_at").bitwiseAND(F.lit((1 << RANGE_BITS) - 1))
     return (
-        ranged.join(F.broadcast(starts), "_range")
-        .withColumn(name, F.col("_start") + place - 1)
-        .drop("_range", "_start")
+        ranged.withColumn("_range", of_range)
+        .join(F.broadcast(starts), "_range")
+        .withColumn(name, F.col("_start") + place)
+        .drop("_range", "_start", "_at")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textrill.config import JoinPolicy
 from textrill.operators.joins import lookup_join
 from textrill.operators.tfidf import exploded
+from textrill.session import shared_dir
 
 
 def word_weights(docs: DataFrame) -> DataFrame:
@@ -53,7 +54,18 @@ def weighted_vectors(
     counted = tokens.groupBy("id", "y", "_n", "word").agg(
         F.count("*").cast("double").alias("_tf")
     )
-    scored = counted.join(weights, ["y", "word"], "left")
+    shared_dir(docs.sparkSession)
+    key = F.struct("y", "word").alias("_key")
+    weights = weights.select(key, "mi").checkpoint()
+    scored = lookup_join(
+        counted.select("*", key),
+        weights,
+        "_key",
+        right_rows=weights.count(),
+        row_bytes=96,
+        spread=F.col("id"),
+        policy=policy,
+    ).drop("_key")
     met = lookup_join(
         scored,
         word_vec.select("word", "vec"),

@@ -72,12 +72,16 @@ def idf_value(docs: Column, df: Column) -> Column:
 
 
 def inverse_document_frequency(
-    docs: DataFrame, buckets: int | None = None, by: Sequence[str] = ()
+    docs: DataFrame,
+    buckets: int | None = None,
+    by: Sequence[str] = (),
+    texts: int | None = None,
 ) -> DataFrame:
-    """F2. ``(*by, idx, df, idf)``, fitted over each part of ``docs``."""
+    """F2. ``(*by, idx, df, idf)``, fitted over each part of ``docs``, of ``texts`` texts."""
     df = document_frequency(docs, buckets, by)
     if not by:
-        return df.withColumn("idf", idf_value(F.lit(docs.count()), F.col("df")))
+        texts = docs.count() if texts is None else texts
+        return df.withColumn("idf", idf_value(F.lit(texts), F.col("df")))
     sizes = docs.groupBy(*by).agg(F.count("*").alias("_m"))
     return (
         df.join(sizes, list(by)).withColumn("idf", idf_value(F.col("_m"), F.col("df"))).drop("_m")
@@ -97,9 +101,10 @@ def tfidf(
     with a broadcast IDF the result is still partitioned by ``id``, as the learners want it.
     """
     shared_dir(docs.sparkSession)
-    idf = inverse_document_frequency(docs, buckets).select("idx", "idf").checkpoint()
+    texts = docs.count()
+    idf = inverse_document_frequency(docs, buckets, texts=texts).select("idx", "idf").checkpoint()
     joined = lookup_join(
-        term_counts(docs.repartition(partitions(docs), "id"), buckets, carry),
+        term_counts(docs.repartition(partitions(docs, texts), "id"), buckets, carry),
         idf,
         "idx",
         right_rows=idf.count(),
@@ -111,14 +116,26 @@ def tfidf(
     return joined.select("id", *carry, "idx", value.alias("v"))
 
 
-def tfidf_by_batch(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def tfidf_by_batch(
+    docs: DataFrame, buckets: int | None = None, policy: JoinPolicy = JoinPolicy()
+) -> DataFrame:
     """F4. TF-IDF of all batches of ``docs(batch, id, tokens)`` at once.
 
     The batch is part of every key, so each batch has its own IDF.
     """
-    tf = term_counts(docs, buckets, ["batch"])
-    idf = inverse_document_frequency(docs, buckets, ["batch"]).drop("df")
-    joined = tf.join(idf, ["batch", "idx"], "left")
+    shared_dir(docs.sparkSession)
+    key = F.when(F.col("idx").isNotNull(), F.struct("batch", "idx")).alias("_key")
+    tf = term_counts(docs, buckets, ["batch"]).select("*", key)
+    idf = inverse_document_frequency(docs, buckets, ["batch"]).select(key, "idf").checkpoint()
+    joined = lookup_join(
+        tf,
+        idf,
+        "_key",
+        right_rows=idf.count(),
+        row_bytes=TERM_BYTES,
+        spread=F.col("id"),
+        policy=policy,
+    )
     value = F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0))
     return joined.select("batch", "id", "idx", value.alias("v"))
 

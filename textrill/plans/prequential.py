@@ -29,14 +29,15 @@ def step(
     accuracy fell by more than ``drift_drop``, the batch is trained a second time. An empty
     batch is skipped.
     """
-    # read once, spread by text: the featuriser and all passes work on these partitions
-    texts = batch.repartition(partitions(batch), "id").persist()
-    feats = ftrl.by_text(featurise(texts, batch_id)).persist()
+    size = batch.count()
+    if size == 0:
+        return None
+    # kept spread by text: the featuriser and all passes work on these partitions
+    texts = batch.repartition(partitions(batch, size), "id").persist()
+    feats = ftrl.by_text(featurise(texts, batch_id), size).persist()
     try:
         by_label = ftrl.label_rows(feats)
         texts.unpersist()
-        if not by_label:
-            return None
         prior = store.latest(before=batch_id)
         score = _score(store, feats, prior, batch_id, cfg) if prior else Score()
         passes = 2 * cfg.passes if score.drift else cfg.passes
