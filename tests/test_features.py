@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
 from textrill.operators import joins, tfidf, wordvec
+from textrill.session import scratch_path
 
 
 def tokens(spark, *texts):
@@ -80,6 +82,17 @@ def test_trained_vectors(spark):
     assert wordvec.train_new_words(docs, table, 10) is None
 
 
+def test_saved_vectors_and_saved_models_load(spark):
+    docs = tokens(spark, *[["red", "green"]] * 10)
+    model = Word2Vec(vectorSize=4, minCount=1, inputCol="tokens", outputCol="v").fit(docs)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    assert {r["word"] for r in wordvec.load_word_vectors(spark, path).collect()} == {"red", "green"}
+    table = scratch_path(spark, "vectors")
+    vectors(spark).write.parquet(table)
+    assert sorted(wordvec.load_word_vectors(spark, table).collect()) == sorted(vectors(spark).collect())
+
+
 def test_hot_key_is_split_and_nothing_lost(spark):
     left = spark.range(9000).select(
         "id", F.expr("CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN CAST(id AS STRING) END").alias("k")

@@ -29,20 +29,24 @@ def local_session(cpus: int | str = "*", app: str = "textrill") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables, from ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so there it is an error.
+    Without it, the folder set on the context. Only a local session that has neither gets a
+    temporary one; on a cluster a machine-local folder would be lost with its machine, so
+    there it is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
+    current = context.getCheckpointDir()
+    if named:
+        if current is None:
+            context.setCheckpointDir(named)
+        return named
+    if current is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="textrill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="textrill-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
