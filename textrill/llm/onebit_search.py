@@ -3,7 +3,8 @@
 Index: every vector is turned by one random rotation, and the signs of its components are kept as packed
 bits, with two scalars: its length, and the inner product of its direction with the code's. With
 them the inner product with a query is estimated from the bits alone; the error of the
-estimate has a known bound (it holds but with a probability that falls like exp(-c * WIDTH^2)). Search: a
+estimate has a bound of ``WIDTH`` times its known deviation, which holds but for a probability that falls like
+exp(-WIDTH^2 / 2). Search: a
 vector whose upper bound is below the lower bound of enough others can't be among the nearest; the
 rest are reranked with the original vectors in double precision.
 
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textrill.llm.common import table
-from textrill.llm.vectors import matrix, packed, unpacked, usable
+from textrill.llm.vectors import component_type, matrix, packed, unpacked, usable
 from textrill.session import materialise
 
 ROWS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 4096
-STEP = 512
-WIDTH = 3.5
+QUERIES_PER_BLOCK = 2048
+STEP = 1024
+WIDTH = 2.5
 SEED = 29
 
 
@@ -51,7 +52,7 @@ def codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def index(vectors: DataFrame) -> DataFrame:
     """``(id, vec array)`` to the index ``(id, dim, vec, bits, length, fit)`` of every usable row."""
-    id_type = vectors.schema["id"].dataType.simpleString()
+    id_type, kind = vectors.schema["id"].dataType.simpleString(), component_type(vectors)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +65,7 @@ def index(vectors: DataFrame) -> DataFrame:
                 bits, length, fit = codes(rows / scale)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([int(dim)] * len(rows), pa.int32()), pa.array(packed(rows)),
+                        part.column(0), pa.array([int(dim)] * len(rows), pa.int32()), pa.array(packed(rows, kind)),
                         pa.array([b.tobytes() for b in bits]), pa.array(length * scale[:, 0]), pa.array(fit),
                     ],
                     ["id", "dim", "vec", "bits", "length", "fit"],
@@ -75,7 +76,7 @@ def index(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _search(k: int):
+def _search(k: int, kind: str):
     """Cogroup function: the ``k`` best rows of a block for each query of a block."""
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -85,32 +86,36 @@ def _search(k: int):
         asked, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        q, x = unpacked(queries["vec"].combine_chunks(), "<f8"), unpacked(rows["vec"].combine_chunks(), "<f8")[order]
+        q, x = unpacked(queries["vec"].combine_chunks(), kind), unpacked(rows["vec"].combine_chunks(), kind)[order]
         dim = q.shape[1]
         bits = unpacked(rows["bits"].combine_chunks(), np.uint8)[order]
         length, fit = rows["length"].to_numpy()[order], rows["fit"].to_numpy()[order]
-        turned, q_length = q @ rotation(dim).T, np.sqrt((q * q).sum(axis=1))
-        error = WIDTH * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, dim - 1)) * length
+        q_length = np.sqrt((q * q).sum(axis=1))
+        turned = np.empty((len(q), dim + 1), np.float32)
+        turned[:, :dim], turned[:, dim] = (q / q_length[:, None]) @ rotation(dim).T, 1.0
+        # bits times these scalars give the estimate for a query of length 1; the last column its error
+        factor = length / (fit * np.sqrt(dim))
+        error = WIDTH * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, dim - 1)) * length + 1e-5 * length
         best_id = np.full((len(q), k), np.iinfo(np.int64).max)
         best = np.full((len(q), k), -np.inf)
         for i in range(0, len(ids), STEP):
             part = slice(i, min(i + STEP, len(ids)))
-            signs = (np.unpackbits(bits[part], axis=1, count=dim) * 2.0 - 1.0) / np.sqrt(dim)
-            guess = (turned @ signs.T) * (length[part] / fit[part])
-            bound = np.outer(q_length, error[part])
-            # k rows are known at least to be as good as the k-th largest lower bound
-            floor = best[:, -1]
-            if part.stop - i > k:
-                lower = guess - bound
-                floor = np.maximum(floor, np.partition(lower, -k - 1, axis=1)[:, -k - 1])  # its own row may be one
-            slack = 1e-9 * q_length[:, None] * length[part]
-            a, b = np.nonzero(guess + bound + slack >= floor[:, None])
-            own = asked[a] == ids[i + b]
-            a, b = a[~own], b[~own]
+            code = np.empty((part.stop - i, dim + 1), np.float32)
+            code[:, :dim] = (np.unpackbits(bits[part], axis=1, count=dim) * 2.0 - 1.0) * factor[part, None]
+            code[:, dim] = error[part]
+            upper = turned @ code.T
+            floor = best[:, -1] / q_length
+            if part.stop - i > k and not np.isfinite(floor).all():
+                # as many rows are at least as good as the k-th largest lower bound; one may be the query's own
+                lower = upper - 2 * error[part].astype(np.float32)
+                floor = np.maximum(floor, np.partition(lower, -k - 1, axis=1)[:, -k - 1])
+            a, b = np.nonzero(upper >= floor[:, None].astype(np.float32))
             score = np.empty(len(a))
-            for j in range(0, len(a), 1 << 16):
-                cut = slice(j, j + (1 << 16))
+            for j in range(0, len(a), 1 << 14):
+                cut = slice(j, j + (1 << 14))
                 score[cut] = (q[a[cut]] * x[i + b[cut]]).sum(axis=1)
+            good = (score >= best[a, -1]) & (asked[a] != ids[i + b])
+            a, b, score = a[good], b[good], score[good]
             a = np.concatenate([np.repeat(np.arange(len(q)), k), a])
             score = np.concatenate([best.ravel(), score])
             found = np.concatenate([best_id.ravel(), ids[i + b]])
@@ -125,10 +130,10 @@ def _search(k: int):
     return search
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, kind: str) -> DataFrame:
     """The ``k`` rows of largest inner product for each query, other than the row of its own id.
 
-    Both are index tables with integer ids. Returns ``(query_id, rank, vec_id, score)``, nearest first, ties
+    Both are index tables with integer ids, ``kind`` the type of their components. Returns ``(query_id, rank, vec_id, score)``, nearest first, ties
     to the smaller id; fewer where there are fewer. Unusable vectors aren't in the index; vectors of
     different lengths don't meet; rows without an id take no part; repeated rows are rows of their own.
     """
@@ -143,7 +148,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     )
     keys = ("dim", "qb", "rb")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _search(k), "query_id long, vec_id long, score double"
+        _search(k, kind), "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
@@ -155,7 +160,7 @@ def op8_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every row whose vec_id is divisible by 20, among all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     found = materialise(index(rows), "onebit-index")
-    return nearest(found.where("id % 20 = 0"), found, 20)
+    return nearest(found.where("id % 20 = 0"), found, 20, component_type(rows))
 
 
 OP8_SQL = """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 
 def usable(vector: Column) -> Column:
@@ -20,10 +21,16 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def packed(rows: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(rows, "<f8")]
+def component_type(vectors: DataFrame) -> str:
+    """How the components of the column ``vec`` are kept as bytes without loss."""
+    return "<f4" if vectors.schema["vec"].dataType.elementType == FloatType() else "<f8"
+
+
+def packed(rows: np.ndarray, kind: str) -> list[bytes]:
+    return [r.tobytes() for r in np.ascontiguousarray(rows, kind)]
 
 
 def unpacked(column: pa.Array, kind: str) -> np.ndarray:
-    """A column of binaries of one length as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    """A column of binaries of one length as a matrix; numbers of single precision become doubles."""
+    found = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    return found.astype(np.float64) if kind == "<f4" else found
