@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.common import blocks, components, table
-from textrill.llm.vectors import matrix, packed, unpacked, usable
+from textrill.llm.vectors import component_type, matrix, packed, unpacked, usable
 from textrill.session import materialise
 
 THRESHOLD = 0.9
 MISS = 1e-5
-BUCKET = 64
+BUCKET = 512
 BLOCK = 2048
 SEED = 71
 
@@ -56,32 +56,32 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def _classes(vectors: DataFrame) -> DataFrame:
     """``(id, key, vec)`` of the usable vectors: a digest of the components, and the components."""
-    id_type = vectors.schema["id"].dataType.simpleString()
+    id_type, kind = vectors.schema["id"].dataType.simpleString(), component_type(vectors)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in np.unique(lengths := np.array([len(x) for x in batch.column(1)])):
                 part = batch.filter(pa.array(lengths == group))
-                vecs = packed(matrix(part.column(1)) + 0.0)  # minus zero becomes zero
+                vecs = packed(matrix(part.column(1)) + 0.0, kind)  # minus zero becomes zero
                 keys = [hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(vecs)], ["id", "key", "vec"])
 
     return vectors.where(usable(F.col("vec"))).mapInArrow(code, f"id {id_type}, key binary, vec binary")
 
 
-def _compare(threshold: float, width: int):
+def _compare(threshold: float, kind: str):
     """Group function: the links first met in this table, per class, and an edge to its like."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         keys, part = group["key"].to_pylist(), group["part"].to_numpy()
         at, lo, hi = group["t"][0].as_py(), group["lo"][0].as_py(), group["hi"][0].as_py()
-        vecs = unit(unpacked(group["vec"].combine_chunks(), "<f8"))
+        vecs = unit(unpacked(group["vec"].combine_chunks(), kind))
         sigs, copies = unpacked(group["sig"].combine_chunks(), "<i4"), group["copies"].to_numpy()
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         links, root = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        rough = vecs[left] @ vecs[right].T > threshold - 1e-9
-        a, b = np.nonzero(rough)
+        short = vecs.astype(np.float32)
+        a, b = np.nonzero(short[left] @ short[right].T > threshold - 1e-4)
         a, b = left[a], right[b]
         if lo == hi:
             a, b = a[a < b], b[a < b]
@@ -118,6 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     with its copies. A component is named by its smallest id; rows without an id have no component of
     their own (null) but count as links, and are kept. An empty table gives no rows.
     """
+    kind = component_type(vectors)
     coded = materialise(_classes(vectors), "vectors")
     classes = materialise(
         coded.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")),
@@ -130,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
             lengths = np.array([len(x.as_py()) for x in batch.column(2)])
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
-                sigs = buckets_of(unit(unpacked(part.column(2), "<f8")), bits, tables).astype("<i4")
+                sigs = buckets_of(unit(unpacked(part.column(2), kind)), bits, tables).astype("<i4")
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array([s.tobytes() for s in sigs]), pa.array(sigs.tolist(), pa.list_(pa.int32()))],
                     ["key", "copies", "vec", "sig", "buckets"],
@@ -149,7 +150,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     found = materialise(
         pairs.join(signed.select("key", "copies", "vec", "sig"), "key")
         .groupBy("dim", "t", "bucket", "lo", "hi")
-        .applyInArrow(_compare(threshold, bits), "key binary, links long, root binary"),
+        .applyInArrow(_compare(threshold, kind), "key binary, links long, root binary"),
         "links",
     )
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
