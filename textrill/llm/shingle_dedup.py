@@ -9,10 +9,11 @@ Candidates from the buckets are compared batch by batch of places. After n place
 probability that s reaches the threshold is P(Binomial(n + 1, threshold) <= m); a pair is pruned as soon as that
 falls below ``PRUNE``. What remains is verified exactly on the full sets.
 
-Equal sets are one class. Within a bucket every class meets the bucket's pivot first, which joins groups of
-near copies at a cost in proportion to their size. Then only pairs of one bucket that are still in different components are
-compared, block by block; pairs inside a component can't change it. So no link between components is left out, and no group is
-written out as all its pairs.
+Equal sets are one class. Within a bucket every class meets a pivot first, which joins groups of near copies at
+a cost in proportion to their size: the class that shares most buckets with others, as an original does
+with its edited copies; then the like of it outside the first pivot's component. After that only pairs of one bucket that are
+still in different components are compared, block by block; pairs inside a component can't change it. So no link
+between components is left out, and no group is written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -153,17 +154,14 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """Of a block pair of one bucket: the pairs of different components that aren't pruned, but for the
-    pivot's, which are settled."""
+    """Of a block pair of one bucket: the pairs of different components that aren't pruned."""
     group = group.combine_chunks()
     part, lo, hi = group["part"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py()
-    keys, pivot = group["key"].to_pylist(), group["pivot"][0].as_py()
-    sigs = _matrix(group["sig"].combine_chunks())
+    keys, sigs = group["key"].to_pylist(), _matrix(group["sig"].combine_chunks())
     _, comp = np.unique(np.array(group["comp"].to_pylist(), dtype=object), return_inverse=True)
-    free = np.array([k != pivot for k in keys])
-    right = np.flatnonzero((part == hi) & free)
+    right = np.flatnonzero(part == hi)
     out_a, out_b = [], []
-    for i in np.flatnonzero((part == lo) & free):
+    for i in np.flatnonzero(part == lo):
         others = right[comp[right] != comp[i]]
         if lo == hi:
             others = others[others > i]
@@ -213,6 +211,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a binary, b binary")
 
 
+def _pivots(members: DataFrame, name: str) -> DataFrame:
+    """Per band the class that shares most buckets with others, and its component, if there is one yet."""
+    named = members if "comp" in members.columns else members.withColumn("comp", F.col("key"))
+    most = named.groupBy("band").agg(F.max(F.struct("_met", "key", "comp")).alias("p"))
+    return most.select("band", F.col("p.key").alias(name), F.col("p.comp").alias("_at"))
+
+
+def _pairs(rows: DataFrame, pivot: str) -> DataFrame:
+    """The distinct pairs of a class and its pivot."""
+    a, b = F.least("key", pivot), F.greatest("key", pivot)
+    return rows.where(F.col("key") != F.col(pivot)).select(a.alias("a"), b.alias("b")).distinct()
+
+
+def _candidates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs that their signatures don't prune."""
+    with_sigs = (
+        pairs.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .select("a", "b", "sig_a", "sig_b")
+    )
+    return with_sigs.mapInArrow(_prune, "a binary, b binary")
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of the buckets that still hold several components, with ``comp``."""
+    told = members.join(comps.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        *members.columns, F.coalesce("root", "key").alias("comp")
+    )
+    mixed = told.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    return materialise(told.join(mixed.select("band"), "band", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row per row of ``docs``.
 
@@ -228,34 +258,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     bands = [F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(HASHES // ROWS)]
     banded = classes.select("key", F.explode(F.array(*bands)).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("_last")).where("pivot < _last")
-    members = materialise(banded.join(shared.drop("_last"), "band"), "members")
-    sets = materialise(_sets(known, members.select("key").distinct().join(classes.drop("sig"), "key")), "sets")
+    shared = banded.groupBy("band").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.count("*").alias("n"))
+    met = materialise(banded.join(shared.where("_lo < _hi").select("band", "n"), "band"), "met")
+    known_by = met.groupBy("key").agg(F.sum("n").alias("_met"))
+    members = materialise(met.join(known_by, "key").select("band", "key", "_met"), "members")
+    sets = materialise(_sets(known, known_by.select("key").join(classes.drop("sig"), "key")), "sets")
     sigs = classes.select("key", "sig")
 
-    first = members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    with_sigs = (
-        first.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .select("a", "b", "sig_a", "sig_b")
-    )
-    links = materialise(_confirmed(with_sigs.mapInArrow(_prune, "a binary, b binary"), sets), "links")
-    comps = components(links)
-
-    told = members.join(comps.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "band", "key", "pivot", F.coalesce("root", "key").alias("comp")
-    )
-    mixed = told.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("band")
-    open_rows = materialise(told.join(mixed, "band", "left_semi"), "open")
+    first = _pivots(members, "pivot")
+    pairs = _pairs(members.join(first, "band"), "pivot")
+    links = materialise(_confirmed(_candidates(pairs, sigs), sets), "links")
+    told = _open(members, components(links))
+    pivots = told.join(first, "band").where("key = pivot").select("band", F.col("comp").alias("_settled"))
+    outside = told.join(pivots, "band").where("comp <> _settled")
+    second = told.join(_pivots(outside, "pivot"), "band").where("comp <> _at")
+    links = links.unionAll(materialise(_confirmed(_candidates(_pairs(second, "pivot"), sigs), sets), "links"))
     across = (
-        blocks(open_rows, ["band"], "key", BLOCK)
+        blocks(_open(members, components(links)), ["band"], "key", BLOCK)
         .join(sigs, "key")
         .groupBy("band", "lo", "hi")
         .applyInArrow(_across, "a binary, b binary")
         .distinct()
     )
-    more = materialise(_confirmed(across, sets), "links")
-    comps = components(links.unionAll(more))
+    comps = components(links.unionAll(materialise(_confirmed(across, sets), "links")))
 
     named = classes.select("key", "doc_id").join(comps.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))

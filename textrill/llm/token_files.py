@@ -29,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-TEXT_RUN = 1 << 20
+TEXT_RUN = 1 << 19
 
 FORMAT = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
