@@ -12,8 +12,8 @@ falls below ``PRUNE``. What remains is verified exactly on the full sets.
 Equal sets are one class. Within a bucket every class meets a pivot first, which joins groups of near copies at
 a cost in proportion to their size: the class that shares most buckets with others, as an original does
 with its edited copies; then the like of it outside the first pivot's component. After that only pairs of one bucket that are
-still in different components are compared, block by block; pairs inside a component can't change it. So no link
-between components is left out, and no group is written out as all its pairs.
+still in different components are compared, block by block where the full sets are at hand; pairs inside a component can't change it. So no link
+between components is left out, and a group never leaves a task as all its pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ HASHES, ROWS = 96, 4
 BATCH = 16
 PERCENT = 75
 PRUNE = 1e-5
-BLOCK = 1024
+BLOCK = 512
 TEXT_RUN = 1 << 20
 SEED = 53
 
@@ -154,22 +154,29 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """Of a block pair of one bucket: the pairs of different components that aren't pruned."""
+    """Links between the components of a block pair of one bucket, found on signatures and verified on full sets.
+
+    A pair is looked at in the first band that it shares, and only while its components differ: at most
+    one link per member leaves the task.
+    """
     group = group.combine_chunks()
-    part, lo, hi = group["part"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py()
-    keys, sigs = group["key"].to_pylist(), _matrix(group["sig"].combine_chunks())
+    part, lo, hi, band = (group[c].to_numpy() for c in ("part", "lo", "hi", "t"))
+    keys, sigs, sets = group["key"].to_pylist(), _matrix(group["sig"].combine_chunks()), group["set"]
+    size = np.array([len(x.as_buffer()) for x in sets])
     _, comp = np.unique(np.array(group["comp"].to_pylist(), dtype=object), return_inverse=True)
-    right = np.flatnonzero(part == hi)
-    out_a, out_b = [], []
-    for i in np.flatnonzero(part == lo):
-        others = right[comp[right] != comp[i]]
-        if lo == hi:
+    right = np.flatnonzero(part == hi[0])
+    out: list[tuple[bytes, bytes]] = []
+    for i in np.flatnonzero(part == lo[0]):
+        others = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
+        if lo[0] == hi[0]:
             others = others[others > i]
         for j in others[surviving(np.broadcast_to(sigs[i], (len(others), HASHES)), sigs[others])]:
-            a, b = sorted((keys[i], keys[j]))
-            out_a.append(a)
-            out_b.append(b)
-    return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+            if comp[j] == comp[i] or (sigs[i] == sigs[j]).reshape(-1, ROWS).all(axis=1).argmax() != band[0]:
+                continue
+            if similar(np.frombuffer(sets[int(i)].as_buffer(), "<u8"), np.frombuffer(sets[int(j)].as_buffer(), "<u8")):
+                out.append((keys[i], keys[j]))
+                comp[comp == comp[j]] = comp[i]
+    return pa.table({c: pa.array([x[n] for x in out], pa.binary()) for n, c in enumerate("ab")})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         worded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes"
     )
     bands = [F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(HASHES // ROWS)]
-    banded = classes.select("key", F.explode(F.array(*bands)).alias("band"))
+    banded = classes.select("key", F.posexplode(F.array(*bands)).alias("t", "band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.count("*").alias("n"))
     met = materialise(banded.join(shared.where("_lo < _hi").select("band", "n"), "band"), "met")
     known_by = met.groupBy("key").agg(F.sum("n").alias("_met"))
-    members = materialise(met.join(known_by, "key").select("band", "key", "_met"), "members")
+    members = materialise(met.join(known_by, "key").select("t", "band", "key", "_met"), "members")
     sets = materialise(_sets(known, known_by.select("key").join(classes.drop("sig"), "key")), "sets")
     sigs = classes.select("key", "sig")
 
@@ -274,13 +281,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = told.join(_pivots(outside, "pivot"), "band").where("comp <> _at")
     links = links.unionAll(materialise(_confirmed(_candidates(_pairs(second, "pivot"), sigs), sets), "links"))
     across = (
-        blocks(_open(members, components(links)), ["band"], "key", BLOCK)
+        blocks(_open(members, components(links)), ["t", "band"], "key", BLOCK)
         .join(sigs, "key")
-        .groupBy("band", "lo", "hi")
+        .join(sets, "key")
+        .groupBy("t", "band", "lo", "hi")
         .applyInArrow(_across, "a binary, b binary")
-        .distinct()
     )
-    comps = components(links.unionAll(materialise(_confirmed(across, sets), "links")))
+    comps = components(links.unionAll(materialise(across, "links")))
 
     named = classes.select("key", "doc_id").join(comps.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
