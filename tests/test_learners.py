@@ -5,6 +5,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.classification import LogisticRegressionWithSGD, SVMWithSGD
 from pyspark.mllib.regression import LabeledPoint
+import pytest
 from pyspark.sql import functions as F
 
 from textrill.config import SgdConfig
@@ -162,3 +163,19 @@ def test_mutual_information(spark):
     want = {("a", "x"): 0.5 * math.log2(0.5 / (0.5 * 0.5)), ("a", "y"): 0.5, ("b", "y"): 0.5}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_pairing_needs_one_label_per_vector(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.5)], "id long, x double")
+    for ids in ((1, 9), (1, 1), (1, None)):
+        with pytest.raises(ValueError, match="exactly one"):
+            labelled.pair_with_labels(rows, spark.createDataFrame([(i, "a") for i in ids], "id long, y string"))
+    assert labelled.pair_with_labels(rows, rows.select("id", F.lit("a").alias("y"))).count() == 2
+
+
+def test_keyed_part_keeps_the_share(spark):
+    for share in (0.7, 0.75, 0.125):
+        part = spark.range(8000).select(labelled.keyed_part(share=share).alias("part"))
+        assert part.where("part = 'train'").count() == 8000 * share
+    with pytest.raises(ValueError, match="decimals"):
+        labelled.keyed_part(share=1 / 3)

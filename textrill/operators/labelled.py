@@ -48,10 +48,18 @@ def with_ordinal(
 
 
 def pair_with_labels(vectors: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
-    """D1. Join vectors and labels one to one; unequal counts are an error."""
+    """D1. Join vectors and labels one to one; unequal counts and unmatched, repeated or null keys are errors."""
     left, right = vectors.count(), labels.count()
     if left != right:
         raise ValueError(f"{left} vectors but {right} labels")
+    sides = vectors.select(key, F.lit(1).alias("_left"), F.lit(0).alias("_right")).unionAll(
+        labels.select(key, F.lit(0), F.lit(1))
+    )
+    odd = sides.groupBy(key).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right")).where(
+        F.col(key).isNull() | (F.col("_left") != 1) | (F.col("_right") != 1)
+    )
+    if found := odd.select(key).take(3):
+        raise ValueError(f"keys without exactly one vector and one label, such as {[r[0] for r in found]}")
     return vectors.join(labels, key)
 
 
@@ -93,8 +101,14 @@ def random_parts(
 
 
 def keyed_part(key: str = "id", share: float = 0.7) -> Column:
-    """D6. "train" or "test" by the last digit of the key: the same split on every run."""
-    train = F.pmod(F.col(key), F.lit(10)) < round(share * 10)
+    """D6. "train" or "test" by the last digits of the key: the same split on every run.
+
+    As many digits as the share has decimals, up to six; a finer share is an error.
+    """
+    modulus = next((10**n for n in range(1, 7) if abs(share * 10**n - round(share * 10**n)) < 1e-9), 0)
+    if not modulus:
+        raise ValueError(f"share {share} has more than six decimals")
+    train = F.pmod(F.col(key), F.lit(modulus)) < round(share * modulus)
     return F.when(train, "train").otherwise("test")
 
 
