@@ -538,20 +538,24 @@ def f10(spark, sf):
         ("words", "SELECT DISTINCT unnest(tokens) AS word FROM docs"),
         ("merged", "SELECT word, 'base' AS origin FROM base UNION ALL "
          "SELECT word, 'added' FROM words WHERE word NOT IN (SELECT word FROM base)"),
-        ("wv", sql.hashed_vectors("(SELECT DISTINCT word FROM merged)", 4)),
+        ("wv", sql.hashed_vectors("(SELECT DISTINCT word FROM merged)", SIZE)),
     )
-    + f"\nSELECT word, origin, {sql.r6('sum(x)')} AS total FROM merged JOIN wv USING (word) "
+    + f"\nSELECT word, origin, count(*)::INT AS size, {sql.r6('sum(x)')} AS total, "
+    f"{sql.r6('sum(x * (pos + 1))')} AS by_place FROM merged JOIN wv USING (word) "
     "GROUP BY ALL",
 )
 def f11(spark, sf):
     new = tfidf.vocabulary(documents(spark, sf)).select(
         F.col("term").alias("word"),
-        hashed_vector(F.col("term"), 4).alias("vec"),
+        hashed_vector(F.col("term"), SIZE).alias("vec"),
         F.lit("added").alias("origin"),
     )
-    base = base_vectors(spark, sf).withColumn("vec", F.slice("vec", 1, 4))
+    placed = F.transform("vec", lambda x, i: x.cast("double") * (i + 1))
     total = F.aggregate("vec", F.lit(0.0), lambda a, b: a + b.cast("double"))
-    return wordvec.merge_vectors(base, new).select("word", "origin", r6(total).alias("total"))
+    by_place = F.aggregate(placed, F.lit(0.0), lambda a, b: a + b)
+    return wordvec.merge_vectors(base_vectors(spark, sf), new).select(
+        "word", "origin", F.size("vec").alias("size"), r6(total).alias("total"), r6(by_place).alias("by_place")
+    )
 
 
 @query(
