@@ -134,6 +134,22 @@ def test_empty_batch_is_skipped(spark):
     assert [r["batch"] for r in store.metrics().collect()] == [3]
 
 
+def test_rows_without_a_label_are_scored_and_teach_nothing(spark):
+    x, y = data(5)
+    plain, mixed = (ModelStore(spark, scratch_path(spark, "model")) for _ in range(2))
+    both = table(spark, x, y).unionAll(table(spark, x[:7], [None] * 7, start=1000))
+    for batch_id in range(2):
+        prequential.step(plain, table(spark, x, y), batch_id, features.dense)
+        prequential.step(mixed, both, batch_id, features.dense)
+    one, two = plain.load(1), mixed.load(1)
+    assert one.labels == two.labels and one.score == two.score
+    a, b = (state_of(m) for m in (one, two))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    assert mixed.read("predictions").where("id >= 1000 AND pred IS NOT NULL").count() == 7
+    empty = ModelStore(spark, scratch_path(spark, "model"))
+    assert prequential.step(empty, table(spark, x[:7], [None] * 7), 0, features.dense) is None
+
+
 def test_text_without_features_is_still_scored(spark):
     store = ModelStore(spark, scratch_path(spark, "model"))
     prequential.step(store, table(spark, *data(1)), 0, features.dense)

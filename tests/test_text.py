@@ -67,6 +67,11 @@ def test_long_stop_list_gives_the_same(spark, bytes_):
     short = cleaning.remove_stop_words(df, words, policy=policy)
     long = cleaning.remove_stop_words(df, words, policy=policy, inline_words=1)
     assert sorted(short.collect()) == sorted(long.collect())
+    odd = spark.createDataFrame([(1, None), (2, "the x"), (2, "z the"), (2, "z the"), (None, "y a")], df.schema)
+    short = cleaning.remove_stop_words(odd, words, policy=policy)
+    long = cleaning.remove_stop_words(odd, words, policy=policy, inline_words=1)
+    key = lambda r: (r["id"] or 0, r["text"] or "")
+    assert sorted(short.collect(), key=key) == sorted(long.collect(), key=key)
     nothing = words.where("false")
     assert sorted(cleaning.remove_stop_words(df, nothing).collect()) == sorted(df.collect())
 

@@ -203,6 +203,15 @@ def s5(spark, sf):
     return labelled.attach_labels(docs, labels).select("id", "y", "n_chars")
 
 
+@query(
+    "s5_unlabelled",
+    "SELECT doc_id AS id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+)
+def s5_unlabelled(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return labelled.unlabelled(docs, table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
+
+
 @query(
     "s5_labels_by_position",
     "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents), "
@@ -217,6 +226,17 @@ def s5_position(spark, sf):
     )
 
 
+@query(
+    "s5_positions_without_label",
+    "SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id FROM documents) "
+    "WHERE ordinal >= (SELECT count(*) FROM labels)",
+)
+def s5_positions(spark, sf):
+    docs = labelled.with_ordinal(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
+    labels = labelled.with_ordinal(table(spark, sf, "labels").select("doc_id"), ["doc_id"])
+    return labelled.unlabelled(docs, labels, "ordinal").select(F.col("ordinal").cast("long").alias("ordinal"), "doc_id")
+
+
 # stop words: cleaned words that occur in more than a tenth of the benchmark texts
 STOP_SQL = (
     "stop",
@@ -1194,12 +1214,13 @@ def l13_model(spark, sf):
         *_nb,
         (
             "joint",
-            "SELECT p.id, p.y, t.label, sum(t.theta) AS s FROM parts p JOIN words w USING (id) "
+            "SELECT w.id, t.label, sum(t.theta) AS s FROM parts p JOIN words w USING (id) "
             "JOIN theta t USING (term) WHERE part = 'test' GROUP BY ALL",
         ),
     )
-    + "\nSELECT id, y, label AS pred FROM joint JOIN pi USING (label) "
-    "QUALIFY row_number() OVER (PARTITION BY id ORDER BY s + pi DESC, label) = 1",
+    + "\nSELECT p.id, p.y, pi.label AS pred FROM parts p CROSS JOIN pi "
+    "LEFT JOIN joint j ON j.id = p.id AND j.label = pi.label WHERE part = 'test' "
+    "QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY coalesce(s, 0) + pi DESC, pi.label) = 1",
 )
 def l13(spark, sf):
     return compare.naive_bayes_predictions(_parted(documents(spark, sf)))

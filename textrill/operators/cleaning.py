@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textrill.config import JoinPolicy, TextConfig
 from textrill.functions import text as tx
 from textrill.operators.joins import lookup_join
+from textrill.session import materialise
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -49,14 +50,21 @@ def remove_stop_words(
     Up to ``inline_words`` words become a hash set inside the expression, so texts are not
     shuffled. A longer list is joined with the exploded tokens, and each text is put
     together again in token order; a text comes from one row, so its group is bounded by it.
+    There the rows are written once with a number of their own, so that repeated and null
+    values of ``id_column`` keep their rows apart. Both ways leave a null text null.
     """
     words = words.select("word").where(F.col("word").isNotNull()).distinct()
     head = words.limit(inline_words + 1).collect()
     if len(head) <= inline_words:
         return remove_words(df, (row["word"] for row in head), separator, column)
 
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    # written, as the numbers must not change when a task is run again
+    df = materialise(df.withColumn(row, F.monotonically_increasing_id()), "texts")
     tokens = df.select(
-        id_column,
+        row,
         F.posexplode_outer(tx.java_split(F.col(column), separator)).alias("_pos", "word"),
     )
     marked = lookup_join(
@@ -65,18 +73,19 @@ def remove_stop_words(
         "word",
         right_rows=words.count(),
         row_bytes=64,
-        spread=F.col(id_column),
+        spread=F.col(row),
         policy=policy,
     )
     kept = F.when(
         F.col("_stop").isNull() & F.col("word").isNotNull(), F.struct("_pos", "word")
     )
     rebuilt = (
-        marked.groupBy(id_column)
+        marked.groupBy(row)
         .agg(F.sort_array(F.collect_list(kept)).alias("_kept"))
-        .select(id_column, F.array_join(F.col("_kept.word"), " ").alias(column))
+        .select(row, F.array_join(F.col("_kept.word"), " ").alias("_rebuilt"))
     )
-    return df.drop(column).join(rebuilt, id_column).select(*df.columns)
+    text = F.when(F.col(column).isNotNull(), F.col("_rebuilt")).alias(column)
+    return df.join(rebuilt, row).select(*(text if c == column else F.col(c) for c in df.columns if c != row))
 
 
 def cleaner(cfg: TextConfig) -> Step:

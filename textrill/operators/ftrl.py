@@ -195,8 +195,9 @@ def train(
     ``feats`` should be persisted in the form of ``by_text``: each pass reads it once. The
     passes form one plan in which each state is used once, so nothing is written between
     them. Labels are independent of each other and are handled in groups, which keeps rows
-    narrow enough for generated code.
+    narrow enough for generated code. Rows without a label teach nothing.
     """
+    feats = feats.where("y IS NOT NULL")
     passes = cfg.passes if passes is None else passes
     feature_rows = feats.count() if feature_rows is None else feature_rows
     touched = touched_rows(feats, feature_rows, len(labels), cfg)

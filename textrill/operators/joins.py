@@ -18,16 +18,19 @@ from textrill.session import shared_dir
 
 # texts per partition below which more partitions cost more than they save
 TEXTS_PER_PARTITION = 250
+# and above which a partition is split, whatever the session's number
+MOST_TEXTS = 100_000
 
 
 def partitions(df: DataFrame, texts: int) -> int:
     """Partitions to spread a batch of ``texts`` texts over.
 
-    The session's shuffle partitions, which are set for large batches; fewer for a small
-    one, whose tasks would otherwise do next to nothing.
+    The session's shuffle partitions; fewer for a small batch, whose tasks would otherwise
+    do next to nothing, and more for one that would have over ``MOST_TEXTS`` in each.
     """
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, math.ceil(texts / TEXTS_PER_PARTITION)))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = max(1, math.ceil(texts / TEXTS_PER_PARTITION))
+    return max(min(usual, small), math.ceil(texts / MOST_TEXTS))
 
 
 def fits_broadcast(rows: int, row_bytes: int, policy: JoinPolicy) -> bool:

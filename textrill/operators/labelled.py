@@ -14,10 +14,15 @@ RANGE_BITS = 33
 
 
 def attach_labels(docs: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
-    """S5. Labels ``(key, y)`` from a side table; documents without one drop out."""
+    """S5. Labels ``(key, y)`` from a side table; ``unlabelled`` gives the documents without one."""
     return docs.join(labels.select(key, "y"), key)
 
 
+def unlabelled(docs: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """S5. The rejects of ``attach_labels``: documents whose key is null or has no label."""
+    return docs.join(labels.select(key), key, "left_anti")
+
+
 def with_ordinal(
     df: DataFrame, order: Sequence[str | Column], name: str = "ordinal"
 ) -> DataFrame:

@@ -75,9 +75,9 @@ def label_counts(scored: DataFrame) -> DataFrame:
 
 
 def accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """E3, E9. Rows, correct rows and their share."""
+    """E3, E9. Labelled rows, correct rows and their share."""
     correct = F.when(F.col("y") == F.col("pred"), 1).otherwise(0)
-    counted = scored.groupBy(*by).agg(
+    counted = scored.where(F.col("y").isNotNull()).groupBy(*by).agg(
         F.count("*").alias("rows"), F.sum(correct).cast("long").alias("correct")
     )
     return counted.withColumn("accuracy", F.try_divide("correct", "rows"))

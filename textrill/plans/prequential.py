@@ -27,7 +27,8 @@ def step(
     Predictions and metrics of the batch are written before the new state, and everything is
     read from the version before ``batch_id``, so running a batch again changes nothing. If
     accuracy fell by more than ``drift_drop``, the batch is trained a second time. An empty
-    batch is skipped.
+    batch is skipped. Rows without a label are scored, and left out of training and accuracy;
+    a batch of such rows alone, with no model before it, is skipped too.
     """
     size = batch.count()
     if size == 0:
@@ -43,6 +44,8 @@ def step(
         passes = 2 * cfg.passes if score.drift else cfg.passes
         known = prior.labels if prior else []
         labels = ftrl.known_labels(known, by_label)
+        if not labels:
+            return None
         index_type = feats.schema["idx"].dataType
         state = ftrl.train(
             feats,
@@ -51,7 +54,7 @@ def step(
             labels,
             cfg,
             passes,
-            sum(by_label.values()),
+            sum(rows for label, rows in by_label.items() if label is not None),
         )
         first = (prior.first_batch if prior else []) + [batch_id] * (len(labels) - len(known))
         return store.commit(batch_id, state, labels, first, cfg, score)
@@ -67,8 +70,9 @@ def _score(
     scored = store.write("predictions", batch_id, ftrl.best_label(margin, prior.labels))
     found = metrics.accuracy(scored).first()
     before = prior.score.accuracy
-    drifted = before is not None and before - found["accuracy"] > cfg.drift_drop
-    return Score(found["rows"], found["correct"], found["accuracy"], drifted)
+    now = found["accuracy"]
+    drifted = None not in (before, now) and before - now > cfg.drift_drop
+    return Score(found["rows"], found["correct"] or 0, now, drifted)
 
 
 def run(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig, JoinPolicy
 from textrill.functions.linear import number, text
+from textrill.session import is_missing
 
 MODEL_SCHEMA = (
     "label STRING, ord INT, first_batch BIGINT, state_rows BIGINT, rows BIGINT, correct BIGINT, "
@@ -112,7 +113,9 @@ class ModelStore:
         """Committed versions in order."""
         try:
             found = self.spark.read.parquet(self.path("model")).select("version").distinct()
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return []
         return sorted(row["version"] for row in found.collect())
 
@@ -120,7 +123,9 @@ class ModelStore:
         """S12. One committed version, or None."""
         try:
             rows = self.spark.read.schema(MODEL_SCHEMA).parquet(self.path("model", version)).collect()
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return None
         rows.sort(key=lambda row: row["ord"])
         settings = json.loads(rows[0]["settings"])

@@ -14,6 +14,7 @@ from textrill.config import FtrlConfig, JoinPolicy, SgdConfig, TextConfig
 from textrill.operators import ftrl, sgd, wordvec
 from textrill.plans.features import Featurise, tokens_of
 from textrill.plans.prequential import step
+from textrill.session import is_missing
 from textrill.sources.model_store import ModelStore
 
 # fixed value: the reading interval of the stream
@@ -68,7 +69,9 @@ def growing_vectors(
     def before(batch_id: int) -> DataFrame:
         try:
             added = store.read("added_words").where(F.col("batch") < batch_id)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return base
         return base.unionByName(added.select("word", "vec", "origin"))
 
@@ -115,7 +118,9 @@ class StreamingLogistic:
         """L21. Weights of the last version, or of the last one before a batch."""
         try:
             table = self.store.read(self.TABLE)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             raise ValueError("the model needs initial weights first") from None
         if before is not None:
             table = table.where(F.col("batch") < before)
