@@ -77,14 +77,18 @@ def inverse_document_frequency(
     by: Sequence[str] = (),
     texts: int | None = None,
 ) -> DataFrame:
-    """F2. ``(*by, idx, df, idf)``, fitted over each part of ``docs``, of ``texts`` texts."""
+    """F2. ``(*by, idx, df, idf)``, fitted over each part of ``docs``, of ``texts`` texts.
+
+    ``by`` names batches, of which there are few beside the terms: their sizes are broadcast.
+    """
     df = document_frequency(docs, buckets, by)
     if not by:
         texts = docs.count() if texts is None else texts
         return df.withColumn("idf", idf_value(F.lit(texts), F.col("df")))
     sizes = docs.groupBy(*by).agg(F.count("*").alias("_m"))
+    # one row per batch, while the terms of a batch would meet in one task
     return (
-        df.join(sizes, list(by)).withColumn("idf", idf_value(F.col("_m"), F.col("df"))).drop("_m")
+        df.join(F.broadcast(sizes), list(by)).withColumn("idf", idf_value(F.col("_m"), F.col("df"))).drop("_m")
     )
 
 
