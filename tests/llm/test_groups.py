@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textrill.llm import embedding_dedup, onebit_search, shingle_dedup
-from textrill.llm.common import blocks, components, table
+from textrill.llm.common import blocks, components, extended, table
 
 
 def least(n, edges):
@@ -31,6 +31,19 @@ def test_components_of_a_chain_a_star_and_a_pair(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_extended_by_edges(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first = [(i, i + 1) for i in range(0, 40, 2)] + [(50, 51)]
+    more = [(i, i + 2) for i in range(0, 20, 2)] + [(51, 60), (70, 71), (70, 70), (0, 1)]
+    got = {r["node"]: r["root"] for r in extended(components(frame(first)), frame(more)).collect()}
+    want = {r["node"]: r["root"] for r in components(frame(first + more)).collect()}
+    groups = lambda found: {frozenset(n for n in found if found[n] == r) for r in found.values()}
+    assert got.keys() == want.keys() and groups(got) == groups(want)
+    for old, new in (([], more), (first, [])):
+        got = {r["node"]: r["root"] for r in extended(components(frame(old)), frame(new)).collect()}
+        assert groups(got) == groups({r["node"]: r["root"] for r in components(frame(old + new)).collect()})
+
+
 def test_blocks_bring_every_pair_together_once(spark):
     members = spark.createDataFrame([("x", i) for i in range(50)] + [("y", 1), ("z", 7), ("z", 8)], "bucket string, key long")
     met = {}

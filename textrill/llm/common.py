@@ -121,3 +121,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", F.coalesce("to", "root").alias("root")
         )
     return materialise(found, "components")
+
+
+def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps``, as ``components`` gives them, after more edges ``(a, b)``.
+
+    Only the edges between the roots so far are contracted, so that a few more of them take few rounds.
+    """
+    to_a = comps.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    to_b = comps.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    between = edges.join(to_a, "a", "left").join(to_b, "b", "left")
+    more = components(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    old = comps.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    new = more.join(comps.select("node"), "node", "left_anti")
+    return materialise(old.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "components")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.bpe_automaton import text_batches
-from textrill.llm.common import blocks, components, table
+from textrill.llm.common import blocks, components, extended, table
 from textrill.session import materialise
 
 WORDS = 5
@@ -275,19 +275,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = _pivots(members, "pivot")
     pairs = _pairs(members.join(first, "band"), "pivot")
     links = materialise(_confirmed(_candidates(pairs, sigs), sets), "links")
-    told = _open(members, components(links))
+    comps = components(links)
+    told = _open(members, comps)
     pivots = told.join(first, "band").where("key = pivot").select("band", F.col("comp").alias("_settled"))
     outside = told.join(pivots, "band").where("comp <> _settled")
     second = told.join(_pivots(outside, "pivot"), "band").where("comp <> _at")
-    links = links.unionAll(materialise(_confirmed(_candidates(_pairs(second, "pivot"), sigs), sets), "links"))
+    comps = extended(comps, materialise(_confirmed(_candidates(_pairs(second, "pivot"), sigs), sets), "links"))
     across = (
-        blocks(_open(members, components(links)), ["t", "band"], "key", BLOCK)
+        blocks(_open(told.drop("comp"), comps), ["t", "band"], "key", BLOCK)
         .join(sigs, "key")
         .join(sets, "key")
         .groupBy("t", "band", "lo", "hi")
         .applyInArrow(_across, "a binary, b binary")
     )
-    comps = components(links.unionAll(materialise(across, "links")))
+    comps = extended(comps, materialise(across, "links"))
 
     named = classes.select("key", "doc_id").join(comps.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
