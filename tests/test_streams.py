@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from textrill.config import SgdConfig, TextConfig
 from textrill.operators import sgd
 from textrill.plans import features, prequential
+from textrill.plans.classifier import OnlineClassifier
 from textrill.session import scratch_path
 from textrill.sources import lines, records
 from textrill.sources.model_store import ModelStore
@@ -64,10 +65,43 @@ def test_growing_vectors(spark, docs):
     assert added.join(base, "word").isEmpty()
     assert added.where(F.size("vec") != 8).isEmpty()
     assert store.metrics().count() == 2
-    words = {r["word"] for r in added.where("batch = 2").collect()}
+    vectors = {r["word"]: r["vec"] for r in added.where("batch = 2").collect()}
+    added.unpersist()
     prequential.step(store, parts[2][1], 2, run)
     again = store.read("added_words").where("batch = 2")
-    assert {r["word"] for r in again.collect()} == words
+    assert {r["word"]: r["vec"] for r in again.collect()} == vectors
+    online = OnlineClassifier(spark, store.root, run)
+    assert online.predict(parts[0][1]).count() == parts[0][1].count()
+    assert store.versions("added_words") == [1, 2]
+
+
+def test_lines_get_ids_and_stay_apart(spark):
+    path = scratch_path(spark, "lines")
+    spark.createDataFrame([("a b\t1",), ("a b\t1",), ("c\t2",), ("short",)], "v STRING").write.text(path)
+    named = lines.read_lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"))
+    ids = sorted(lines.with_ids(named).collect())
+    assert len({r["id"] for r in ids}) == 4
+    assert sorted(lines.with_ids(named.repartition(3)).collect()) == ids
+    store = ModelStore(spark, scratch_path(spark, "model"))
+    learning.line_step(store, named, 0, features.featuriser(TEXT))
+    learning.line_step(store, named, 1, features.featuriser(TEXT))
+    assert store.read("predictions").count() == 3
+    assert [r["value"] for r in store.read("rejects").where("batch = 1").collect()] == ["short"]
+
+
+def test_predictions_on_a_stream_follow_the_model(spark, docs):
+    online = OnlineClassifier(spark, featurise=features.featuriser(TEXT))
+    source, sink = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
+    progress, want = scratch_path(spark, "progress"), []
+    for batch_id, part in prequential.split_batches(docs, 2):
+        online.train(part)
+        part.write.mode("append").parquet(source)
+        rows = lines.stream_table(spark, source, "id BIGINT, y STRING, text STRING")
+        online.predict_stream(rows, progress, sink, available_now=True).awaitTermination()
+        want += [(batch_id, r["id"], r["pred"]) for r in online.predict(part).collect()]
+    got = spark.read.parquet(sink).select("batch", "id", "pred").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert online.store.metrics().isEmpty() and online.store.versions("predictions") == []
 
 
 def test_streaming_logistic(spark):

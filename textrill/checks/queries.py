@@ -1071,6 +1071,32 @@ def _streamed(spark, sf) -> ModelStore:
     return store
 
 
+_lines_docs = sql.documents(BATCHES)[1].removesuffix("FROM documents)") + (
+    "FROM (SELECT doc_id, lang, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(13), ' ') "
+    "AS text FROM documents))"
+)
+_lines_sql, _ = sql.prequential(
+    "rows", "feats", BATCHES, "VARCHAR", before=[("docs", _lines_docs), *sql.TFIDF]
+)
+
+
+@query("p3_line_stream_metrics", _lines_sql + sql.METRICS)
+def p3_lines(spark, sf):
+    """Labelled lines without ids: stopped and started between files, the last batch run again."""
+    store = ModelStore(spark, scratch_path(spark, "model"))
+    source, progress = scratch_path(spark, "arriving"), scratch_path(spark, "progress")
+    featurise = features.featuriser(TEXT)
+    for batch_id, part in prequential.split_batches(raw_documents(spark, sf), BATCHES):
+        flat = part.withColumn("text", F.regexp_replace("text", "[\t\n\r]", " "))
+        folder = f"{source}/part={batch_id}"
+        line_io.write_labelled(flat, folder)
+        stream = line_io.stream_named_lines(spark, f"{source}/*")
+        learning.line_stream(stream, store, featurise, progress, available_now=True).awaitTermination()
+    named = line_io.read_lines(spark, folder).select("value", F.col("_metadata.file_path").alias("file"))
+    learning.line_step(store, named, batch_id, featurise)
+    return _metrics(store)
+
+
 @query("p3_growing_vectors")
 def p3_growing(spark, sf):
     """Short texts with word vectors that grow from batch to batch."""
@@ -1155,7 +1181,7 @@ def p2(spark, sf):
     online = classifier.OnlineClassifier(spark)
     rows = embeddings(spark, sf)
     for _, part in prequential.split_batches(rows, 2):
-        online.train(part)
+        online.test_then_train(part)
     return online.predict_probability(rows).withColumn("prob", r6("prob"))
 
 
@@ -1408,6 +1434,31 @@ def l18(spark, sf):
     return spark.read.parquet(sink).withColumn("prob", r6("prob"))
 
 
+@query(
+    "l18_live_model",
+    sql.with_(*_l17)
+    + "\n"
+    + " UNION ALL ".join(
+        f"SELECT {b} AS batch, x.id, {sql.r6('1 / (1 + exp(-sum(x.x * w.w)))')} AS prob FROM x "
+        f"JOIN targets{b} t ON t.id = x.id JOIN v{b}_4 w ON w.pos = x.pos GROUP BY x.id"
+        for b in range(3)
+    ),
+)
+def l18_live(spark, sf):
+    """Train and predict streams take turns; each file is scored with the weights it has just changed."""
+    rows = embeddings(spark, sf).withColumn("y", labelled.binary_label(F.col("y")))
+    model = learning.StreamingLogistic(spark, scratch_path(spark, "model"), STREAM_SGD)
+    model.set_initial_weights([0.0] * sgd.width_of(rows))
+    source, sink = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
+    learnt, told = scratch_path(spark, "progress"), scratch_path(spark, "progress")
+    for _, part in prequential.split_batches(rows, 3):
+        part.write.mode("append").parquet(source)
+        stream = line_io.stream_table(spark, source, "id BIGINT, y DOUBLE, features ARRAY<DOUBLE>")
+        model.train_on(stream, learnt, available_now=True).awaitTermination()
+        model.predict_stream(stream, told, sink, available_now=True).awaitTermination()
+    return spark.read.parquet(sink).select("batch", "id", r6("prob").alias("prob"))
+
+
 @query(
     "l19_predict_one",
     sql.with_(*_l17)

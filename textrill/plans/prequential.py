@@ -21,6 +21,7 @@ def step(
     batch_id: int,
     featurise: Featurise,
     cfg: FtrlConfig = FtrlConfig(),
+    scored: bool = True,
 ) -> Model | None:
     """Score one batch with the model before it, then train on it.
 
@@ -28,7 +29,8 @@ def step(
     read from the version before ``batch_id``, so running a batch again changes nothing. If
     accuracy fell by more than ``drift_drop``, the batch is trained a second time. An empty
     batch is skipped. Rows without a label are scored, and left out of training and accuracy;
-    a batch of such rows alone, with no model before it, is skipped too.
+    a batch of such rows alone, with no model before it, is skipped too. With ``scored`` off
+    the batch is trained on once, and there are no predictions, metrics or drift.
     """
     size = batch.count()
     if size == 0:
@@ -40,7 +42,7 @@ def step(
         by_label = ftrl.label_rows(feats)
         texts.unpersist()
         prior = store.latest(before=batch_id)
-        score = _score(store, feats, prior, batch_id, cfg) if prior else Score()
+        score = _score(store, feats, prior, batch_id, cfg) if prior and scored else Score()
         passes = 2 * cfg.passes if score.drift else cfg.passes
         known = prior.labels if prior else []
         labels = ftrl.known_labels(known, by_label)

@@ -109,10 +109,19 @@ class ModelStore:
         self.write("model", version, one.selectExpr(f"inline(array({entries}))"))
         return Model(version, written, rows, list(labels), list(first_batch), score, cfg)
 
-    def versions(self) -> list[int]:
-        """Committed versions in order."""
+    def read_version(self, table: str, version: int) -> DataFrame | None:
+        """One version of a table by its path, or None."""
         try:
-            found = self.spark.read.parquet(self.path("model")).select("version").distinct()
+            return self.spark.read.parquet(self.path(table, version))
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
+            return None
+
+    def versions(self, table: str = "model") -> list[int]:
+        """Written versions of a table in order; those of ``model`` are the committed ones."""
+        try:
+            found = self.spark.read.parquet(self.path(table)).select("version").distinct()
         except AnalysisException as error:
             if not is_missing(error):
                 raise

@@ -15,6 +15,7 @@ from textrill.operators import ftrl, sgd, wordvec
 from textrill.plans.features import Featurise, tokens_of
 from textrill.plans.prequential import step
 from textrill.session import is_missing
+from textrill.sources import lines
 from textrill.sources.model_store import ModelStore
 
 # fixed value: the reading interval of the stream
@@ -34,6 +35,49 @@ def each_batch(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def write_batches(
+    source: DataFrame, work: Callable[[DataFrame], DataFrame], checkpoint: str, path: str, **options
+) -> StreamingQuery:
+    """Write what ``work`` makes of micro-batch N to ``path/batch=N``; a replay overwrites it."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        work(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return each_batch(source, write, checkpoint, **options)
+
+
+def line_step(
+    store: ModelStore,
+    named: DataFrame,
+    batch_id: int,
+    featurise: Featurise,
+    cfg: FtrlConfig = FtrlConfig(),
+) -> None:
+    """P3 on one batch of labelled lines ``(value, file)``.
+
+    Lines that are too short go to the table ``rejects``.
+    """
+    rows, rejects = lines.parse_labelled(lines.with_ids(named), keep=["id"])
+    store.write("rejects", batch_id, rejects)
+    step(store, rows, batch_id, featurise, cfg)
+
+
+def line_stream(
+    source: DataFrame,
+    store: ModelStore,
+    featurise: Featurise,
+    checkpoint: str,
+    cfg: FtrlConfig = FtrlConfig(),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """P3 on a stream of ``text<TAB>label`` lines, as ``stream_named_lines`` reads them."""
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        line_step(store, df, batch_id, featurise, cfg)
+
+    return each_batch(source, work, checkpoint, available_now)
+
+
 def prequential_stream(
     source: DataFrame,
     store: ModelStore,
@@ -61,7 +105,9 @@ def growing_vectors(
 
     Each batch writes only the words it adds, so the vectors at a batch are the base and all
     earlier additions, and a word's first vector stays. Before the first model nothing is
-    added.
+    added. A batch whose words have been written before, as ``added_done`` tells, reuses them, so
+    that a replay gives the same vectors. ``frozen`` embeds with the vectors before a batch
+    and writes nothing.
     """
     split = tokens_of(cfg)
     base_words = base.count()
@@ -77,16 +123,26 @@ def growing_vectors(
 
     def run(batch: DataFrame, batch_id: int) -> DataFrame:
         docs, vectors = split(batch), before(batch_id)
-        if store.latest(before=batch_id) is not None:
+        if store.read_version("added_done", batch_id) is not None:
+            vectors = before(batch_id + 1)
+        elif store.latest(before=batch_id) is not None:
             new = wordvec.train_new_words(docs, base, cfg.vector_size, seed, policy)
             if new is not None:
                 fresh = new.join(vectors.select("word"), "word", "left_anti")
                 fresh = store.write("added_words", batch_id, fresh)
+                store.write("added_done", batch_id, fresh.sparkSession.range(1))
                 vectors = vectors.unionByName(fresh.select("word", "vec", "origin"))
+        return embedded(docs, vectors)
+
+    def frozen(batch: DataFrame, batch_id: int) -> DataFrame:
+        return embedded(split(batch), before(batch_id))
+
+    def embedded(docs: DataFrame, vectors: DataFrame) -> DataFrame:
         words = base_words if vectors is base else vectors.count()
         means = wordvec.document_vectors(docs, vectors, cfg.vector_size, ["y"], policy, words)
         return ftrl.dense_features(means)
 
+    run.frozen = frozen
     return run
 
 
@@ -116,17 +172,14 @@ class StreamingLogistic:
 
     def latest_model(self, before: int | None = None) -> list[float]:
         """L21. Weights of the last version, or of the last one before a batch."""
-        try:
-            table = self.store.read(self.TABLE)
-        except AnalysisException as error:
-            if not is_missing(error):
-                raise
-            raise ValueError("the model needs initial weights first") from None
-        if before is not None:
-            table = table.where(F.col("batch") < before)
-        version = table.agg(F.max("batch")).first()[0]
-        rows = table.where(F.col("batch") == version).orderBy("pos").collect()
-        return [row["w"] for row in rows]
+        # the version right before a batch is tried by its path; only a gap makes the store list
+        table = None if before is None else self.store.read_version(self.TABLE, before - 1)
+        if table is None:
+            earlier = [v for v in self.store.versions(self.TABLE) if before is None or v < before]
+            if not earlier:
+                raise ValueError("the model needs initial weights first")
+            table = self.store.read_version(self.TABLE, earlier[-1])
+        return [row["w"] for row in table.orderBy("pos").collect()]
 
     def train_batch(self, rows: DataFrame, batch_id: int) -> None:
         """L17. Train on ``rows(id, y, features)``, y numeric; an empty batch is skipped."""
@@ -152,6 +205,13 @@ class StreamingLogistic:
     def predict_on(self, rows: DataFrame, before: int | None = None) -> DataFrame:
         """L18-L20. Add ``prob``; all other columns, such as keys, pass through.
 
-        A projection only, so it works on a stream, on a table and on a single row.
+        A projection only, so it works on a stream, on a table and on a single row. The weights
+        are those of the moment it is called; ``predict_stream`` follows a model in training.
         """
         return rows.withColumn("prob", sgd.probability("features", self.latest_model(before)))
+
+    def predict_stream(
+        self, source: DataFrame, checkpoint: str, path: str, **options
+    ) -> StreamingQuery:
+        """L18, L20 with a live model: each micro-batch is scored with the last weights then."""
+        return write_batches(source, self.predict_on, checkpoint, path, **options)
