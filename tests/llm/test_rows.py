@@ -111,6 +111,22 @@ def test_licences_match_in_other_dress(spark):
     assert licences.scan(docs.limit(0), licences.known_licences(spark)).count() == 0
 
 
+def test_whole_licences_match_with_title_and_copyright_line(spark):
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in licences.TEXTS.glob("*.txt")}
+    owner = "Copyright (c) 2021 Some One\nAll rights reserved.\n\n"
+    files = [(name, owner + text) for name, text in whole.items()]
+    files += [(name, f"{title}\n\n{owner}{(licences.KNOWN | whole)[name]}") for name, titles in licences.TITLES.items() for title in titles]
+    apache, gpl = whole["Apache-2.0"], whole["GPL-3.0"]
+    files += [("Apache-2.0", apache.replace(licences.UNFILLED, "Copyright 2021 Some One")), ("Apache-2.0", apache[: apache.index("APPENDIX")])]
+    files += [("GPL-3.0", gpl[: gpl.index("How to Apply These Terms")]), (None, gpl[: len(gpl) // 2]), (None, apache + "\nAnd more.")]
+    files += [("MIT", "The MIT License (MIT)\n\n" + licences.KNOWN["MIT"]), (None, "MIT License")]
+    files += [(name, owner + whole[name].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")) for name in ("BSD-2-Clause", "BSD-3-Clause")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(files)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(files)}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense"} <= set(whole)
+
+
 def test_quality_on_the_held_out_fold(spark, small):
     got = quality.op3_pu_quality(spark, small).join(table(spark, small, "labels"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]

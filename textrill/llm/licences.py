@@ -2,11 +2,16 @@
 
 A text is brought into a canonical form and its digest looked up among those of known licences. The form
 ignores what licence texts may differ in without being another licence: case, blanks,
-punctuation, copyright lines, and spellings that count as equal. Texts match as a whole.
+punctuation, copyright lines, and spellings that count as equal. Texts match as a whole; a licence that is passed on
+with or without its title, its appendix or the unfilled line of that is known in each of these forms.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +51,29 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
+# Whole licences as published, a file each, named by licence.
+TEXTS = Path(__file__).with_name("licence_texts")
+
+# Titles that are put above texts published without one: fixed values.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+
+# Texts whose first paragraph is their title.
+TITLED = (
+    "Apache-2.0", "Artistic-1.0-Perl", "BSL-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0",
+)
+END = "END OF TERMS AND CONDITIONS"
+NUMBER = r"(?m)^\s*[0-9]\.\s"
+UNFILLED = "Copyright [yyyy] [name of copyright owner]"
+
 # A copyright line: behind signs at most, the word or sign with a year, another sign, a colon or "by".
 COPYRIGHT_LINE = (
     r"^[^\p{L}\p{N}\n(©]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|:|by )|(\(c\)|©)[ \t]*(copyright[ \t]*)?[0-9]{4})[^\n]*$"
@@ -84,9 +112,30 @@ def _digest_sql(text: str) -> str:
     return f"sha256(trim({out}))"
 
 
+def forms(name: str, body: str) -> Iterator[str]:
+    """The forms in which a licence's whole text is passed on: title, appendix and its unfilled line kept or left out, clauses numbered or not."""
+    starts = [body, *(f"{title}\n\n{body}" for title in TITLES.get(name, ()))]
+    if name in TITLED:
+        starts.append(body.lstrip().split("\n\n", 1)[1])
+    for text in starts:
+        yield text
+        if END in text:
+            yield text[: text.index(END) + len(END)]
+        if name.startswith("BSD-"):
+            yield re.sub(NUMBER, "", text)
+        if UNFILLED in text:
+            yield text.replace(UNFILLED, "")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``(licence, text)``: the short texts and the whole licences, in all their forms."""
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in TEXTS.glob("*.txt")}
+    return sorted((name, text) for name, body in (KNOWN | whole).items() for text in forms(name, body))
+
+
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """``(licence, licence_digest)`` of the known texts, one name per digest."""
-    rows = spark.createDataFrame(sorted((texts or KNOWN).items()), "licence string, body string")
+    rows = spark.createDataFrame(sorted(texts.items()) if texts else known_texts(), "licence string, body string")
     return rows.groupBy(digest(F.col("body")).alias("licence_digest")).agg(F.min("licence").alias("licence"))
 
 
