@@ -82,6 +82,30 @@ def test_trained_vectors(spark):
     assert wordvec.train_new_words(docs, table, 10) is None
 
 
+def test_training_keeps_all_words_and_follows_the_data(spark, monkeypatch):
+    tasks = []
+
+    def spied(**settings):
+        tasks.append(settings["numPartitions"])
+        return Word2Vec(**settings)
+
+    monkeypatch.setattr(wordvec, "Word2Vec", spied)
+    monkeypatch.setattr(wordvec, "TASK_TOKENS", 20)
+    docs = tokens(spark, *[["red", "green", "blue"]] * 20, ["once"], [])
+    got = wordvec.train_word_vectors(docs, 4)
+    assert {r["word"] for r in got.collect()} == {"red", "green", "blue", "once"}
+    wordvec.train_word_vectors(docs.limit(3), 4)
+    new = wordvec.train_new_words(docs, got.where("word = 'once'"), 4)
+    assert {r["word"] for r in new.collect()} == {"red", "green", "blue"} and tasks == [4, 1, 3]
+    bound = 3 * wordvec.word_bytes(4)
+    assert wordvec.train_new_words(docs, got.where("word = 'once'"), 4, driver_bytes=bound).count() == 3
+    with pytest.raises(ValueError, match="4 words"):
+        wordvec.train_word_vectors(docs, 4, driver_bytes=bound)
+    with pytest.raises(ValueError, match="4 words"):
+        wordvec.train_new_words(docs, got.limit(0), 4, driver_bytes=bound)
+    assert len(tasks) == 4
+
+
 def test_saved_vectors_and_saved_models_load(spark):
     docs = tokens(spark, *[["red", "green"]] * 10)
     model = Word2Vec(vectorSize=4, minCount=1, inputCol="tokens", outputCol="v").fit(docs)

@@ -18,34 +18,59 @@ from textrill.config import JoinPolicy
 from textrill.operators.joins import fits_broadcast, lookup_join
 from textrill.operators.labelled import with_ordinal
 from textrill.operators.tfidf import exploded
+from textrill.session import materialise
+
+# Tokens that one training task takes, and what the driver may hold of a vocabulary in training.
+TASK_TOKENS = 500_000
+DRIVER_BYTES = 512 << 20
 
 
 def train_word_vectors(
     corpus: DataFrame,
     size: int = 50,
-    min_count: int = 5,
+    min_count: int = 1,
     window: int = 5,
     step: float = 0.025,
     iterations: int = 1,
-    partitions: int = 1,
+    partitions: int | None = None,
     seed: int = 1,
     origin: str = "base",
+    driver_bytes: int = DRIVER_BYTES,
 ) -> DataFrame:
-    """F6. Vectors of the words of ``corpus(tokens)``. Fails loudly if nothing can be trained."""
+    """F6. Vectors of the words of ``corpus(tokens)``. Fails loudly if nothing can be trained.
+
+    Without ``partitions``, one task trains on about ``TASK_TOKENS`` tokens; the library averages what the tasks
+    learned of a word. It holds vocabulary and vectors on the driver, so words are counted on Spark first, and a
+    vocabulary beyond ``driver_bytes`` is an error before any of it is collected.
+    """
+    texts = materialise(corpus.select("tokens"), "corpus")
+    counted = corpus_vocabulary(texts).where(F.col("cn") >= min_count)
+    words, tokens = counted.agg(F.count("*"), F.coalesce(F.sum("cn"), F.lit(0))).first()
+    held = words * word_bytes(size)
+    if held > driver_bytes:
+        raise ValueError(
+            f"{words} words need about {held >> 20} MB on the driver, more than {driver_bytes >> 20} MB: "
+            "raise min_count, or driver_bytes with the driver's memory"
+        )
     model = Word2Vec(
         vectorSize=size,
         minCount=min_count,
         windowSize=window,
         stepSize=step,
         maxIter=iterations,
-        numPartitions=partitions,
+        numPartitions=partitions or max(1, -(-tokens // TASK_TOKENS)),
         seed=seed,
         inputCol="tokens",
         outputCol="vector",
-    ).fit(corpus.select("tokens"))
+    ).fit(texts)
     return from_model(model, origin)
 
 
+def word_bytes(size: int) -> int:
+    """About what a word takes on the driver: its tree path, and two vectors kept twice."""
+    return 600 + 16 * size
+
+
 def from_model(model: Word2VecModel, origin: str = "base") -> DataFrame:
     """The vectors of a trained model as a table."""
     return model.getVectors().select(
@@ -154,14 +179,15 @@ def train_new_words(
     size: int = 50,
     seed: int = 1,
     policy: JoinPolicy = JoinPolicy(),
+    driver_bytes: int = DRIVER_BYTES,
 ) -> DataFrame | None:
     """F10. Skip-gram vectors of the unfamiliar texts' words; None if there is no such text."""
     texts = unfamiliar_texts(docs, base, policy).select("tokens")
     if texts.isEmpty():
         return None
     return train_word_vectors(
-        texts, size, min_count=0, window=3, step=0.025, iterations=1, partitions=4, seed=seed,
-        origin="added",
+        texts, size, min_count=0, window=3, step=0.025, iterations=1, seed=seed, origin="added",
+        driver_bytes=driver_bytes,
     )
 
 
