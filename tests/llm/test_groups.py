@@ -85,6 +85,26 @@ def test_shingle_groups_equal_brute_force(spark, small):
     assert shingle_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_document_of_each_group_where_ids_repeat(spark):
+    said = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = said["a"].replace("a59", "z")
+    rows = [
+        (7, said["a"], "x"), (7, said["b"], "x"),  # two unlike texts of one id, both first of their groups
+        (3, said["c"], "x"), (7, said["c"], "y"),  # id 7 is also on a text that is rejected for 3
+        (7, near, "x"), (9, said["a"], "x"),  # near copies, one with the same id
+        (7, said["b"], "w"), (7, said["b"], "w"),  # rows that repeat
+        (5, None, "x"), (5, said["d"], "x"), (5, "", "x"), (None, said["a"], "x"), (None, said["a"], "x"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `so.urce` string")
+    again = spark.createDataFrame(rows[::-1], frame.schema).repartition(5)
+    one, two = (sorted(map(tuple, shingle_dedup.deduplicate(f).collect()), key=str) for f in (frame, again))
+    of_a = [r for r in one if r[0] == 7 and r[1] in (said["a"], near)]
+    assert one == two and len(of_a) == 1 and not [r for r in one if r[0] == 9]
+    assert sorted((r for r in one if r not in of_a), key=str) == sorted(
+        [(7, said["b"], "w"), (3, said["c"], "x"), (5, "", "x"), (5, said["d"], "x"), (None, said["a"], "x"), (None, said["a"], "x")], key=str
+    )
+
+
 def test_pruning_bound_is_the_posterior():
     need = shingle_dedup.least_agreements()
     assert need[0] == 0 and need[96] < 72 and all(a <= b for a, b in zip(need, need[1:], strict=False))

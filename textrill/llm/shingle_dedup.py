@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.bpe_automaton import text_batches
-from textrill.llm.common import blocks, components, extended, table
+from textrill.llm.common import blocks, components, extended, fresh, table
 from textrill.session import materialise
 
 WORDS = 5
@@ -115,8 +115,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, key, sig)``: ``key`` is a digest of the set, null for the empty one."""
+def sketches(docs: DataFrame, mark: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *mark, n_shingles, key, sig)``: ``key`` is a digest of the set, null for the empty one."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +130,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sigs.append(signature(found).tolist() if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, len(texts)), pa.array(counts, pa.int64()),
-                        pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())),
+                        batch.column(0).slice(begin, len(texts)),
+                        *(c.slice(begin, len(texts)) for c in batch.columns[2:]),
+                        pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "key", "sig"],
+                    ["doc_id", *mark, "n_shingles", "key", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_shingles long, key binary, sig array<int>"
+    marks = "".join(f", `{m}` {docs.schema[m].dataType.simpleString()}" for m in mark)
+    return docs.select("doc_id", "text", *mark).mapInArrow(
+        run, f"doc_id {id_type}{marks}, n_shingles long, key binary, sig array<int>"
     )
 
 
@@ -250,18 +252,16 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return materialise(told.join(mixed.select("band"), "band", "left_semi"), "open")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, a row per row of ``docs``.
-
-    Texts without words (null, empty, blanks) have no shingles and link with nothing. Rows that
-    repeat have equal sets and are linked. Rows without an id have n_shingles, link with nothing, have no
-    component (null) and are kept. An empty table gives no rows; other columns aren't read.
-    """
+def _grouped(docs: DataFrame, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and ``(key, root, doc_id, *mark)``: per class its component and its first document."""
     known = docs.where("doc_id IS NOT NULL")
-    sketched = materialise(sketches(docs), "sketches")
+    sketched = materialise(sketches(docs, mark), "sketches")
     worded = sketched.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(
-        worded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes"
+        worded.groupBy("key")
+        .agg(F.min(F.struct("doc_id", *mark)).alias("_first"), F.first("sig").alias("sig"))
+        .select("key", "_first.*", "sig"),
+        "classes",
     )
     bands = [F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(HASHES // ROWS)]
     banded = classes.select("key", F.posexplode(F.array(*bands)).alias("t", "band"))
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = materialise(banded.join(shared.where("_lo < _hi").select("band", "n"), "band"), "met")
     known_by = met.groupBy("key").agg(F.sum("n").alias("_met"))
     members = materialise(met.join(known_by, "key").select("t", "band", "key", "_met"), "members")
-    sets = materialise(_sets(known, known_by.select("key").join(classes.drop("sig"), "key")), "sets")
+    sets = materialise(_sets(known, known_by.select("key").join(classes.select("key", "doc_id"), "key")), "sets")
     sigs = classes.select("key", "sig")
 
     first = _pivots(members, "pivot")
@@ -290,8 +290,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     comps = extended(comps, materialise(across, "links"))
 
-    named = classes.select("key", "doc_id").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    named = named.withColumn("root", F.coalesce("root", "key"))
+    named = classes.drop("sig").join(comps.withColumnRenamed("node", "key"), "key", "left")
+    return sketched, named.withColumn("root", F.coalesce("root", "key"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, a row per row of ``docs``.
+
+    Texts without words (null, empty, blanks) have no shingles and link with nothing. Rows that
+    repeat have equal sets and are linked. Rows without an id have n_shingles, link with nothing, have no
+    component (null) and are kept. An empty table gives no rows; other columns aren't read.
+    """
+    sketched, named = _grouped(docs)
     least = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
     ids = named.join(least, "root").select("key", "_least")
     return sketched.join(ids, "key", "left").select(
@@ -301,10 +311,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group, and all rows without an id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionAll(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` that are kept: one document of each group, and all rows without an id.
+
+    A document is known by its id and the digest of its text, as an id may repeat with another text: of each group the
+    least of them stays, and of texts without words each. Of rows that repeat in both, the least of
+    the other columns as JSON stays.
+    """
+    digest = fresh(docs, "_digest")
+    marked = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    sketched, named = _grouped(marked, (digest,))
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", digest)).alias("_first")).select("_first.*")
+    wordless = sketched.where("key IS NULL AND doc_id IS NOT NULL").select("doc_id", digest)
+    rows = marked.where("doc_id IS NOT NULL").join(first.unionAll(wordless).distinct(), ["doc_id", digest], "left_semi")
+    columns = {c: F.col("`{}`".format(c.replace("`", "``"))) for c in docs.columns}
+    others = F.to_json(F.struct(*(col for c, col in columns.items() if c != "text")))
+    one = F.min_by(F.struct(*columns.values()), F.struct(F.isnull("text"), others))
+    kept = rows.groupBy("doc_id", digest).agg(one.alias("_row")).select("_row.*")
+    return kept.unionAll(docs.where("doc_id IS NULL"))
 
 
 def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
