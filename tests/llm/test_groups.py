@@ -143,6 +143,17 @@ def test_vector_groups_equal_brute_force(spark, small):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_error_bound_of_the_codes_holds():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((20000, 64)), rng.standard_normal((50, 64))
+    q /= np.sqrt((q * q).sum(axis=1))[:, None]
+    bits, length, fit = onebit_search.codes(x)
+    code = np.unpackbits(bits, axis=1, count=64) * 2.0 - 1.0
+    estimate = q @ onebit_search.rotation(64).T @ code.T * (length / (fit * np.sqrt(64)))
+    error = onebit_search.WIDTH * np.sqrt(1 - fit * fit) / fit / np.sqrt(63) * length
+    assert (np.abs(q @ x.T - estimate) > error).mean() < 0.001
+
+
 def test_nearest_equal_brute_force(spark, small):
     frame = vectors(spark, small)
     found = onebit_search.index(frame)

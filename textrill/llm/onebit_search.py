@@ -30,7 +30,7 @@ from textrill.session import materialise
 ROWS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 2048
 STEP = 1024
-WIDTH = 2.5
+WIDTH = 3.5
 SEED = 29
 
 
