@@ -1,15 +1,20 @@
 """Operators that judge, place or repeat rows, and the pipeline."""
 
+import hashlib
 import zlib
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import check
 import corpus_pipeline
-from textrill.llm import licences, mixing, quality, slots, url_filter
+from tests.llm.test_groups import least, shingled
+from textrill.llm import bpe_automaton, licences, mixing, quality, slots, url_filter
 from textrill.llm.common import table
 from textrill.session import scratch_path
 
@@ -155,3 +160,27 @@ def test_pipeline_stages_take_effect(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.select("doc_id").distinct().join(one, "doc_id", "left_anti").count() == 0
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_pipeline_equals_brute_force(spark, small):
+    docs = table(spark, small, "documents")
+    model, _ = quality.learn(docs, table(spark, small, "labels"))  # only the scores are worked out again, not the training
+    rows = docs.toPandas().sort_values("doc_id", ignore_index=True)
+    scores = model.score(np.array([quality.features(t) for t in rows["text"]]))
+    rows = rows[scores >= quality.CUT].reset_index(drop=True)
+    sets = [shingled(t) for t in rows["text"]]
+    edges = [(i, j) for i, a in enumerate(sets) for j in range(i) if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j])]
+    documents = rows[[r == i for i, r in enumerate(least(len(sets), edges))]]
+    texts = dict(zip(documents["doc_id"], documents["text"], strict=True))
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        copies = {r[0]: r[4] // r[1] for r in con.execute(mixing.OP6_SQL).fetchall()}
+    library = Tokenizer.from_file(public_tokenizers.path(bpe_automaton.VOCABULARY))
+    want = []
+    for doc_id, n in copies.items():
+        ids = library.encode(texts[doc_id], add_special_tokens=False).ids
+        coded = np.array(ids, "<i4").tobytes()
+        back = library.decode(ids, skip_special_tokens=False).encode()
+        want += [(doc_id, coded, len(ids), hashlib.sha256(coded).hexdigest(), hashlib.sha256(back).hexdigest())] * n
+    got = [(r[0], bytes(r[1]), *r[2:]) for r in corpus_pipeline.run(spark, small).collect()]
+    assert sorted(got) == sorted(want) and len(documents) < len(sets) < docs.count()
