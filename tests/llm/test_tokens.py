@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from textrill.llm import bpe_automaton, token_files
+from textrill.llm import bpe_automaton, token_files, units
 from textrill.session import scratch_path
 
 PARTS = (
@@ -30,7 +32,7 @@ def library(name):
 
 def test_automaton_equals_the_library():
     ours, theirs, found = bpe_automaton.Codec(bpe_automaton.vocabulary_text()), library(bpe_automaton.VOCABULARY), texts()
-    ids, at = ours.encode(found)
+    ids, at = ours.encode([t.encode() for t in found])
     for i, text in enumerate(found):
         want = theirs.encode(text, add_special_tokens=False).ids
         got = ids[at[i] : at[i + 1]]
@@ -50,14 +52,94 @@ def test_encoder_by_units_equals_the_library():
     with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as file:
         ours = token_files.Encoder(file.read())
     theirs, found = library(token_files.VOCABULARY), texts()
-    ours.units.limit = 200  # empties the table again and again
+    ours.units.limit = 1  # empties the table before every run
     for begin in range(0, len(found), 100):
         some = found[begin : begin + 100]
-        ids, at = ours.encode(some)
+        ids, at = ours.encode([t.encode() for t in some])
         for i, text in enumerate(some):
             assert ids[at[i] : at[i + 1]].tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def both():
+    with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as file:
+        yield token_files.Encoder(file.read()), library(token_files.VOCABULARY)
+    yield bpe_automaton.Codec(bpe_automaton.vocabulary_text()), library(bpe_automaton.VOCABULARY)
+
+
+def same_ids(ours, theirs, found):
+    ids, at = ours.encode([t.encode() for t in found])
+    for i, text in enumerate(found):
+        assert ids[at[i] : at[i + 1]].tolist() == theirs.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_words_that_share_a_digest_keep_their_own_ids():
+    word = "a"
+    pairs = []
+    for _ in range(12):  # a Thue-Morse word and its complement share the sum whatever the base
+        word += word.translate(str.maketrans("ab", "ba"))
+        pairs += [word, word.translate(str.maketrans("ab", "ba"))]
+    for ours, theirs in both():
+        same_ids(ours, theirs, pairs)
+        same_ids(ours, theirs, [" ".join(pairs[:20])] * 2)
+
+
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_a_table_in_which_all_digests_collide(monkeypatch, kinds):
+    monkeypatch.setattr(units, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(kinds) + np.uint64(1))
+    for ours, theirs in both():
+        same_ids(ours, theirs, texts(200))
+
+
+def test_pieces_end_where_units_do(monkeypatch):
+    monkeypatch.setattr(units, "RUN", 64)
+    monkeypatch.setattr(units, "LONG_UNIT", 20)
+    found = ["".join(texts(400)), "日本 한국 " * 50, "x" * 300 + " y", "é" * 200]
+    for text in found:
+        cut = list(units.pieces(text.encode(), 64))
+        assert b"".join(cut) == text.encode()
+    for ours, theirs in both():
+        same_ids(ours, theirs, found)
+
+
+LONG_TEXT = """
+import resource, sys, public_tokenizers, pyarrow as pa
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+from textrill.llm import bpe_automaton, token_files
+part = " ".join(f"Words of, the {'abcdefghij'[i % 10] * 3}{'klmnop'[i % 6]} {i % 7} texts" for i in range(40_000)) + " "
+data = bytearray()
+while len(data) < 50 << 20:
+    data += part.encode()
+text = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, len(data)], pa.int32()).buffers()[1], pa.py_buffer(data)])
+batch = pa.RecordBatch.from_arrays([pa.array([1]), text], ["doc_id", "text"])
+if sys.argv[1] == "op2":
+    (got,) = bpe_automaton.coded_batches(bpe_automaton.Codec(bpe_automaton.vocabulary_text()), iter([batch]))
+else:
+    encoder = token_files.Encoder(open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8").read())
+    (got,) = token_files.encoded_batches(encoder, iter([batch]), 2)
+print(batch.nbytes >> 20, got.num_rows, peak())
+"""
+
+
+@pytest.mark.parametrize("name", ["op2", "op10"])
+def test_a_text_of_50_mb_takes_bounded_memory(name):
+    told = subprocess.run([sys.executable, "-c", LONG_TEXT, name], capture_output=True, text=True, check=True, timeout=600)
+    size, count, peak = map(int, told.stdout.split())
+    assert size >= 49 and count == 1 and peak < 500
+
+
+def test_all_documents_equal_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokens = token_files.encoded(docs, open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8").read(), None)
+    found = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    coded = bpe_automaton.encode_decode(docs).select("doc_id", "ids").collect()
+    words, bytes_ = library(bpe_automaton.VOCABULARY), library(token_files.VOCABULARY)
+    assert len(coded) == len(found)
+    for r in coded:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == words.encode(found[r["doc_id"]], add_special_tokens=False).ids
+    for r in tokens.select("doc_id", "ids").collect():
+        assert r["ids"] == bytes_.encode(found[r["doc_id"]], add_special_tokens=False).ids
+
+
 def rows(spark):
     found = [(i if i != 4 else None, t, "x") for i, t in enumerate(ODD)] + [(9, "same text", "x")]
     return spark.createDataFrame(found, "doc_id long, text string, ids string")

@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.common import table
-from textrill.llm.units import UnitTable
+from textrill.llm.units import TextEncoder, UnitTable, byte_batches
 
 VOCABULARY = "word_bpe_49k.json"
-TEXT_RUN = 1 << 20
+TEXT_RUN = 1 << 19
+DECODE_RUN = 1 << 16
+MOST_ARCS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -64,7 +66,8 @@ class Automaton:
         self.born = [-1] * n  # the gadget that made the label, -1 for base symbols
         self.left, self.right = [-1] * n, [-1] * n
         self.dropped: dict[tuple[int, int], int] = {}  # (state, label) -> the gadget that dropped it
-        self.arcs: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.arcs: list[dict[int, bool]] = []
+        self.forget_arcs()
         # by character: what follows, the label that ends here inside a word, at a word's end
         self.root: dict[str, list] = {}
         live = [True] * n
@@ -107,6 +110,10 @@ class Automaton:
             else:
                 t, time = self.left[t], bt + 1
 
+    def forget_arcs(self) -> None:
+        """Empty the table of the transitions used so far; it is filled again as words need them."""
+        self.arcs, self.held = [{} for _ in range(len(self.born))], 0
+
     def encode(self, word: str) -> list[int]:
         """The labels of a word given as characters of the byte alphabet.
 
@@ -116,6 +123,9 @@ class Automaton:
         n, end, root, arcs_of = len(word), len(self.born), self.root, self.arcs
         if not n:
             return []
+        if self.held > MOST_ARCS:
+            self.forget_arcs()
+            arcs_of = self.arcs
         path: list[int] = []
         trail: list[tuple[int, list]] = []
         dead: set[int] = set()
@@ -149,6 +159,7 @@ class Automaton:
                     has = arcs_of[p].get(t)
                     if has is None:
                         has = arcs_of[p][t] = self._has(p, t, end)
+                        self.held += 1
                     if not has:
                         continue
                 path.append(t)
@@ -176,13 +187,11 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.labels = {i: label for label, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {i: s for s, i in self.special.items()}
-        found = sorted(map(re.escape, self.special), key=len, reverse=True)
-        self.at_special = re.compile(f"({'|'.join(found)})") if found else None
-        self.firsts = {s[0] for s in self.special}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.labels |= {i: s for s, i in special.items()}
         self.alphabet = byte_alphabet()
         self.units = UnitTable(self._learn)
+        self.texts = TextEncoder(special, self.units, lower=True)
 
     def words(self, unit: str) -> list[str]:
         """The words of a unit: NFC, each character lower-cased by itself, split."""
@@ -199,33 +208,30 @@ class Codec:
             out.append(np.array(ids, np.uint32))
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin (and the last's end).
-
-        A special string in a text is its own token; what stands around it is encoded apart.
-        """
-        parts, first, special = [], [0], []
-        for text in texts:
-            if self.at_special is not None and any(f in text for f in self.firsts):
-                for i, part in enumerate(self.at_special.split(text)):
-                    special.append(self.special[part] if i % 2 else -1)
-                    parts.append(b"" if i % 2 else part.encode().lower())
-            else:
-                special.append(-1)
-                parts.append(text.encode().lower())
-            first.append(len(parts))
-        ids, offsets = self.units.encode(parts)
-        mark = np.array(special, np.int64)
-        at = np.flatnonzero(mark >= 0)
-        if len(at):
-            ids = np.insert(ids, offsets[at], mark[at].astype(np.uint32))
-            offsets = offsets + np.searchsorted(at, np.arange(len(offsets)))
-        return ids, offsets[np.array(first)]
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the last's end)."""
+        return self.texts.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The arcs' labels, one after the other, with a blank between as the file has no decoder."""
         return " ".join(map(self.labels.__getitem__, ids.tolist()))
 
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of ``ids``, each from its place in ``at`` to the next, as one column."""
+        out, ends = bytearray(), [0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for i in range(a, b, DECODE_RUN):
+                out += b" " * (i > a) + self.decode(ids[i : min(b, i + DECODE_RUN)]).encode()
+            ends.append(len(out))
+        if len(out) >= 1 << 31:
+            raise ValueError("the decoded texts of one run exceed 2 GB, the most that a column of strings holds")
+        return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(np.array(ends, "<i4")), pa.py_buffer(out)])
+
+    def release(self) -> None:
+        """Give back what was kept of the texts seen."""
+        self.units.clear()
+        self.automaton.forget_arcs()
+
 
 _codecs: dict[int, Codec] = {}
 
@@ -250,29 +256,34 @@ def text_batches(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tupl
             texts, held, begun = [], 0, i + 1
 
 
+def coded_batches(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, ids, decoded)`` of batches ``(doc_id, text)``; at the end the codec gives its tables back."""
+    for batch in batches:
+        for begin, texts in byte_batches(batch, 1, TEXT_RUN):
+            ids, at = codec.encode(texts)
+            texts.clear()
+            n = len(at) - 1
+            data = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+            lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 4).astype("<i4")), data])
+            decoded = codec.decode_all(ids, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), lists, decoded], ["doc_id", "ids", "decoded"])
+    codec.release()
+
+
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, ids, decoded)``: ids as little-endian unsigned 32-bit integers in a binary.
 
     Whole texts, row by row: a null or empty text has no ids and decodes to an empty text,
-    repeated rows stay, an empty table gives none, other columns aren't read. A text of any length
-    is encoded in pieces between blanks. ``path`` names the vocabulary file, read by the driver.
+    repeated rows stay, an empty table gives none, other columns aren't read. A long text is encoded in
+    pieces of half a megabyte that end where a word does; one word longer than that is encoded whole. What a worker
+    keeps of the texts it has seen is bounded in bytes and given back at the end of each task. ``path`` names the
+    vocabulary file, read by the driver.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))  # a file of a set size
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared.value)
-        for batch in batches:
-            for begin, texts in text_batches(batch, 1, TEXT_RUN):
-                ids, at = codec.encode(texts)
-                data, decoded = ids.astype("<u4").tobytes(), []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    decoded.append(codec.decode(ids[a:b]))
-                lists = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at * 4), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), lists.cast(pa.binary()), pa.array(decoded, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+        return coded_batches(codec_of(shared.value), batches)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, decoded string")
 

@@ -20,9 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrill.llm.bpe_automaton import text_batches
 from textrill.llm.common import table
-from textrill.llm.units import UnitTable
+from textrill.llm.units import TextEncoder, UnitTable, byte_batches
 from textrill.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,8 +52,8 @@ class Encoder:
     """A tokenizer of the library, asked once for each distinct unit of the texts.
 
     New units that are one word go to the library together, a line each: a line end between words is a
-    word of its own, so the ids of one line end part them. All others go one by one, and
-    texts with one of the special strings whole.
+    word of its own, so the ids of one line end part them. All others go one by one. The special strings are
+    those that the library takes literally; files with other ones aren't read.
     """
 
     def __init__(self, file_text: str):
@@ -63,9 +62,12 @@ class Encoder:
         self.library = Tokenizer.from_str(file_text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.library.normalizer for t in special.values()):
+            raise ValueError("only special strings that stand for themselves are read")
         (self.line_end,) = self._whole("\n").tolist()
         self.units = UnitTable(self._learn)
+        self.texts = TextEncoder({t.content: i for i, t in special.items()}, self.units)
 
     def _whole(self, text: str) -> np.ndarray:
         (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
@@ -88,16 +90,13 @@ class Encoder:
                 out[i] = part[1:] if i != at[0] else part
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (and the last's end)."""
-        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        ids, offsets = self.units.encode([b"" if i in whole else t.encode() for i, t in enumerate(texts)])
-        if whole:
-            at = np.array(list(whole))
-            counts = np.array([len(x) for x in whole.values()])
-            ids = np.insert(ids, np.repeat(offsets[at], counts), np.concatenate(list(whole.values())))
-            offsets = offsets + np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(at, np.arange(len(offsets)))]
-        return ids, offsets
+        return self.texts.encode(texts)
+
+    def release(self) -> None:
+        """Give back what was kept of the texts seen."""
+        self.units.clear()
 
 
 _encoders: dict[int, Encoder] = {}
@@ -112,24 +111,32 @@ def encoder_of(file_text: str) -> Encoder:
     return _encoders[key]
 
 
+def encoded_batches(encoder: Encoder, batches: Iterator[pa.RecordBatch], end_id: int | None) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, n_tokens, ids)`` of batches ``(doc_id, text)``; at the end the encoder gives its table back."""
+    for batch in batches:
+        for begin, texts in byte_batches(batch, 1, TEXT_RUN):
+            ids, at = encoder.encode(texts)
+            texts.clear()
+            n = len(at) - 1
+            if end_id is not None:
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(begin, n), pa.array(np.diff(at)),
+                    pa.ListArray.from_arrays(at.astype(np.int32), np.ascontiguousarray(ids).view(np.int32)),
+                ],
+                ["doc_id", "n_tokens", "ids"],
+            )
+    encoder.release()
+
+
 def encoded(docs: DataFrame, file_text: str, end_id: int | None = END_ID) -> DataFrame:
     """``(doc_id, n_tokens, ids array<int>)`` of every row, in the order and tasks of the input."""
     shared = docs.sparkSession.sparkContext.broadcast(file_text)  # the size of the vocabulary file
     id_type = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            for begin, texts in text_batches(batch, 1, TEXT_RUN):
-                ids, at = encoder.encode(texts)
-                if end_id is not None:
-                    ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(texts)), pa.array(np.diff(at)),
-                        pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)),
-                    ],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+        return encoded_batches(encoder_of(shared.value), batches, end_id)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids array<int>")
 
