@@ -13,6 +13,7 @@ from textrill.llm import (
     slots,
     token_files,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_onebit_search": onebit_search.op8_onebit_search,
     "op9_url_vocabulary": url_filter.op9_url_vocabulary,
     "op10_parquet_token_lists": token_files.op10_parquet_token_lists,
+    "op13_lanczos_whitening": whitening.op13_lanczos_whitening,
 }
 
 SQL = {
