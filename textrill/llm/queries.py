@@ -5,9 +5,11 @@ from __future__ import annotations
 from textrill.llm import (
     bpe_automaton,
     embedding_dedup,
+    language_id,
     licences,
     mixing,
     onebit_search,
+    periodic_runs,
     quality,
     shingle_dedup,
     slots,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_onebit_search": onebit_search.op8_onebit_search,
     "op9_url_vocabulary": url_filter.op9_url_vocabulary,
     "op10_parquet_token_lists": token_files.op10_parquet_token_lists,
+    "op11_kneser_ney_language": language_id.op11_kneser_ney_language,
+    "op12_descending_lcp_runs": periodic_runs.op12_descending_lcp_runs,
     "op13_lanczos_whitening": whitening.op13_lanczos_whitening,
 }
 
