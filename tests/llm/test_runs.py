@@ -89,9 +89,15 @@ def test_query_equals_all_periods(spark, small):
     assert len(rows) > 150 and want <= got and len(got) == table(spark, small, "documents").count()
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 7])
-def test_odd_rows(spark, monkeypatch, piece):
-    monkeypatch.setattr(pr, "PIECE", piece)
+def test_words_of_a_text_in_pieces(monkeypatch):
+    text = "é ü\tword\n" * 50 + "x" * 40 + " end"
+    whole = pr.Words().of(text.encode())
+    monkeypatch.setattr(pr, "PIECE", 7)
+    cut = pr.Words()
+    assert cut.of(text.encode()).tolist() == whole.tolist() and cut.texts([whole]) == [b" ".join(text.encode().split())]
+
+
+def test_odd_rows(spark):
     texts = [None, "", " \n", "a", "x " * 12, "x\ty\n" * 6, "é ü " * 7 + "é", "same same " * 9, "same same " * 9, "a b c d e f g " * 300 + "z"]
     rows = [(i if i != 3 else None, t, i) for i, t in enumerate(texts)] + [(4, "x " * 11, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs long")

@@ -100,7 +100,8 @@ def _halves(piece: str) -> list[Run]:
 
 def hashes(chars: np.ndarray, context: bool) -> np.ndarray:
     """A hash of each row of characters, its length, and whether it is a context or a whole run."""
-    h = np.full(len(chars), 2 * chars.shape[1] + context + 1, np.uint64)
+    # the start is far from any character, so that runs and contexts can't take each other's place
+    h = np.full(len(chars), (2 * chars.shape[1] + context + 1) * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
     for k in range(chars.shape[1]):
         h = (h ^ chars[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
