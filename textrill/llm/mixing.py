@@ -11,7 +11,6 @@ from textrill.session import materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
-STARTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -23,73 +22,65 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     The sources by code point, null last, weigh ``weights`` in turn and share the sum of all
     sizes; a target stops at ``most`` times its source's size, and the excess is shared again by weight
-    until none is above. That end is a common level per unit of weight: with the sources by the
-    level at which they fill up, each full one leaves its rest to those behind it. It has one
-    row per source, so the two global windows hold no more than the names of the sources.
+    until none is above. Each round is one sum over the sources that are full at the level of the round before, so that any
+    number of sources is spread over the tasks; the level rises, and only two numbers a round reach the driver.
     ``offset`` is the source's random start in [0, 1), from a digest of the seed and its name.
     """
-    name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_place") - 1) % len(weights) + 1).cast("int"))
-    named = sizes.withColumn("_place", F.row_number().over(name)).withColumn("_w", w.cast("long"))
-    named = named.withColumn("_cap", F.col("source_size") * most)
-    fills = Window.orderBy(F.col("_cap") / F.col("_w"), "_place")
-    ahead, everything = fills.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(ahead), F.lit(0))
-    weight = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(ahead), F.lit(0))
-    levels = named.withColumn("_level", left / weight)
-    open_level = F.when(F.col("_cap") / F.col("_w") > F.col("_level"), F.col("_level"))
-    shared = levels.withColumn("_share", F.max(open_level).over(everything) * F.col("_w"))
+    place = (F.col("_place") % len(weights) + 1).cast("int")
+    placed = numbered(sizes, [], [F.col("source").asc_nulls_last()], "_place").select(
+        "source", "source_size", F.element_at(F.array(*map(F.lit, weights)), place).cast("long").alias("_w"),
+        (F.col("source_size") * most).alias("_cap"),
+    )
+    total = placed.agg(F.sum("source_size")).first()[0] or 0
+    level, full_before = 0.0, None
+    while True:
+        full = F.lit(False) if full_before is None else F.col("_cap") / F.col("_w") <= level
+        held = placed.agg(F.count_if(full), F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+        if held[0] == full_before or not held[2]:
+            break
+        full_before, level = held[0], (total - (held[1] or 0)) / held[2]
     digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce("source", F.lit(""))))
-    return shared.select(
-        "source", "source_size",
-        F.least(F.col("_cap").cast("double"), F.coalesce("_share", F.col("_cap").cast("double"))).alias("target"),
+    return placed.select(
+        "source", "source_size", F.least(F.col("_cap").cast("double"), F.col("_w") * F.lit(level)).alias("target"),
         (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)).alias("offset"),
     )
 
 
-def copies_taken(sized: DataFrame, group: str, size: str, into: str, most: int = MOST) -> DataFrame:
+def copies_taken(sized: DataFrame, group: str, order: list[str], size: str, into: str, most: int = MOST) -> DataFrame:
     """Add ``source_size``, ``target`` and ``into`` (copies to emit) to sized rows.
 
-    Within its source each document expects target / source_size copies. In the order of (size, doc_id)
-    the expected copies are summed up, the source's offset is added, and a document is
+    Within its source each document expects target / source_size copies. In the order of size, then of ``order``,
+    the expected copies are summed up, the source's one random offset is added, and a document is
     emitted once per whole number that its stretch of the sum crosses. So every document
-    gets the expected copies rounded down or up, and as neighbours are alike in size, the words taken come
-    within about one of the longest documents of the target. Where a few long documents hold much of
-    a source, that is still much: so the offset is drawn as ``STARTS`` equally spaced ones from a random first, and the one
-    whose words come nearest to the target is used (the first of equals).
+    gets the expected copies rounded down or up, each with its chance, and as neighbours are alike in size, the words taken come
+    within about one of the longest documents of the target. Rows equal in size and ``order`` should be equal altogether, so
+    that it doesn't matter which of them is taken.
     """
-    placed = numbered(sized, [group], [F.col(size), F.col("doc_id")], "_i")
+    placed = numbered(sized, [group], [F.col(c) for c in (size, *order)], "_i")
     sums = placed.groupBy(F.col(group).alias("source")).agg(F.sum(size).alias("source_size"))
     plan = materialise(targets(sums), "targets").withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-
-    def copies(start: Column) -> Column:
-        stretch = lambda i: F.floor(i * rate + start)
-        return F.least(stretch(F.col("_i") + 1) - stretch(F.col("_i")), F.lit(most))
-
+    stretch = lambda i: F.floor(i * rate + F.col("offset"))
+    copies = F.least(stretch(F.col("_i") + 1) - stretch(F.col("_i")), F.lit(most))
     rows = placed.join(plan, placed[group].eqNullSafe(F.col("_source")), "left")
-    words = F.array(*(F.sum(copies(F.col("offset") + k / STARTS) * F.col(size)) for k in range(STARTS)))
-    tried = rows.groupBy("_source").agg(words.alias("_words"), F.first("target").alias("_target"))
-    off = F.transform("_words", lambda w, k: F.struct(F.abs(w - F.col("_target")).alias("off"), k.alias("k")))
-    chosen = tried.select(F.col("_source").alias("_chosen"), F.array_min(off)["k"].alias("_k"))
-    return rows.join(chosen, F.col("_source").eqNullSafe(F.col("_chosen")), "left").select(
-        *(placed[c] for c in sized.columns), "source_size", "target",
-        copies(F.col("offset") + F.col("_k") / STARTS).cast("long").alias(into),
-    )
+    return rows.select(*(placed[c] for c in sized.columns), "source_size", "target", copies.cast("long").alias(into))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
     Null text counts no words; null is a source of its own, the last; a source without words has
-    target 0 and gives none; repeated rows are documents of their own; an empty table stays empty.
+    target 0 and gives none; repeated rows are documents of their own; an empty table stays empty. Documents of one size and
+    id are taken in the order of their text's digest and then of their other columns as JSON, so that the order of the rows doesn't matter.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(
         F.col("doc_id"), F.col("source").alias("_group"), word_count(F.col("text")).alias("_size"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("_digest"),
+        F.to_json(F.struct(*(F.col(c).alias(n) for c, n in names.items() if c != "text"))).alias("_others"),
         F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("_row"),
     )
-    taken = copies_taken(rows, "_group", "_size", "_copies")
+    taken = copies_taken(rows, "_group", ["doc_id", "_digest", "_others"], "_size", "_copies")
     return taken.where("_copies > 0").select(
         "_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     ).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))
@@ -98,10 +89,12 @@ def mix(docs: DataFrame) -> DataFrame:
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all documents takes of each."""
     sized = materialise(
-        table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")),
+        table(spark, sf_dir, "documents").select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")
+        ),
         "sized",
     )
-    taken = copies_taken(sized, "source", "size", fresh(sized, "copies"))
+    taken = copies_taken(sized, "source", ["doc_id", "digest"], "size", fresh(sized, "copies"))
     return taken.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -109,7 +102,8 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5(coalesce(text, '')) AS digest FROM documents),
 named AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
   FROM sized GROUP BY source),
@@ -128,14 +122,9 @@ plan AS (
 placed AS (
   SELECT s.doc_id, s.size, s.source, p.source_size, p.target, p.u,
     CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) - 1 AS i
-  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-tried AS (
-  SELECT *, least(floor((i + 1) * rate + (u + k / {STARTS})) - floor(i * rate + (u + k / {STARTS})), 3) * size AS taken
-  FROM placed, (SELECT range AS k FROM range({STARTS}))),
-chosen AS (
-  SELECT source, k FROM tried GROUP BY source, k
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), k) = 1)
-SELECT t.doc_id, t.size, t.source_size, t.target, t.taken::BIGINT AS taken
-FROM tried t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
+    row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST, s.digest) - 1 AS i
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  (least(floor((i + 1) * rate + u) - floor(i * rate + u), 3) * size)::BIGINT AS taken
+FROM placed
 """
