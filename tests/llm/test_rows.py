@@ -90,6 +90,21 @@ def test_mix_repeats_whole_rows(spark):
     assert counts <= 6 and mixing.mix(docs.limit(0)).count() == 0  # the repeated row may come twice three times
 
 
+def test_mix_takes_the_same_rows_in_any_order(spark):
+    rows = [(i // 3, "w " * (1 + i // 9) + f"t{i % 3}", "a", i) for i in range(60)] + [(1, "same size", "a", k) for k in range(5)]
+    frames = [spark.createDataFrame(some, "doc_id long, text string, source string, size long") for some in (rows, rows[::-1], rows[7:] + rows[:7])]
+    one, *others = (sorted(map(str, mixing.mix(f.repartition(k + 1)).collect())) for k, f in enumerate(frames))
+    assert others == [one, one] and 0 < len(one)
+
+
+def test_a_mix_of_many_sources_shares_out_the_targets(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"s{i:04}": int(s) for i, s in enumerate(rng.pareto(0.7, 3000) * 10)}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+    assert got == pytest.approx(water(sizes))
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme/porn", "", "", None, "block"),
     ("http://A.Example.ORG/es/x?q", "a.example.org", "/es/x", "example.org/es/", "block"),
@@ -139,6 +154,54 @@ def test_quality_on_the_held_out_fold(spark, small):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.85
 
 
+def plain_risk(w, x, trusted, prior, ridge):
+    g = x @ w
+    negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[trusted]).mean()
+    return prior * np.logaddexp(0, -g[trusted]).mean() + max(0.0, negative) + 0.5 * ridge * (w[1:] ** 2).sum()
+
+
+def test_quality_minimises_the_bounded_risk(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    rows = quality.with_features(docs.select("doc_id", "text"), "_x").drop("text")
+    told = quality.training_rows(rows, labels).cache()
+    prior = quality.estimated_prior(told)
+    model = quality.fit(told, prior)
+    found = told.toPandas()
+    trusted, x = found["trusted"].to_numpy(bool), np.array([np.frombuffer(b, "<f8") for b in found["x"]])
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert trusted.sum() == len(good) and len(x) == docs.count()
+    z = quality.scaled(x, x.mean(axis=0), np.where(x.std(axis=0) < 1e-6, 1.0, x.std(axis=0)))
+    least = plain_risk(np.array(model.weights), z, trusted, prior, quality.RIDGE)
+    v = np.zeros(len(w))
+    for step in range(4000):
+        g = z @ v
+        s = 1 / (1 + np.exp(-g))
+        negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[trusted]).mean()
+        up = z.T @ s / len(z) - prior * z[trusted].T @ s[trusted] / trusted.sum()
+        slope = (up if negative > 0 else 0) - prior * z[trusted].T @ (1 - s[trusted]) / trusted.sum() + quality.RIDGE * np.append(0, v[1:])
+        v = v - 0.5 / (1 + step / 400) * slope
+    assert least < plain_risk(v, z, trusted, prior, quality.RIDGE) + 1e-2
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.9):
+        positive = np.clip(rng.normal(0.7, 0.12, 20_000), 0, 0.999)
+        mixed = np.append(np.clip(rng.normal(0.7, 0.12, int(60_000 * prior)), 0, 0.999), np.clip(rng.normal(0.25, 0.12, 60_000 - int(60_000 * prior)), 0, 0.999))
+        counts = [np.bincount((v * 500).astype(int), minlength=500) for v in (positive, mixed)]
+        assert quality.best_bin(*counts) == pytest.approx(prior, abs=0.03)
+
+
+def test_quality_of_long_and_repeated_texts(spark, small):
+    labels = table(spark, small, "labels")
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "Word of text. " * 200_000), (None, ""), (None, None), (3, "x" * 300_000), (3, "x" * 300_000)], docs.schema)
+    model, rows = quality.learn(docs.unionAll(odd), labels)
+    got = quality.scored(rows, model, "_x", "score").collect()
+    assert len(got) == docs.count() + 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 3}) <= 2 and sum(r["doc_id"] is None for r in got) == 3
+
+
 def test_quality_of_odd_rows(spark, small):
     labels = table(spark, small, "labels")
     docs = table(spark, small, "documents").withColumn("score", F.lit("mine"))

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrill.llm.common import table
+from textrill.llm.common import give_back, table
 from textrill.llm.units import TextEncoder, UnitTable, byte_batches
 
 VOCABULARY = "word_bpe_49k.json"
@@ -199,14 +199,15 @@ class Codec:
             return self.WORDS.findall(unit.lower())
         return self.WORDS.findall("".join(map(str.lower, unicodedata.normalize("NFC", unit))))
 
-    def _learn(self, new: list[bytes]) -> list[np.ndarray]:
-        alphabet, encode, out = self.alphabet, self.automaton.encode, []
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        alphabet, encode = self.alphabet, self.automaton.encode
+        ids: list[int] = []
+        ends = [0]
         for unit in new:
-            ids: list[int] = []
             for word in self.words(unit.decode()):
                 ids += encode("".join([alphabet[b] for b in word.encode()]))
-            out.append(np.array(ids, np.uint32))
-        return out
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (and the last's end)."""
@@ -268,6 +269,7 @@ def coded_batches(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             decoded = codec.decode_all(ids, at)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), lists, decoded], ["doc_id", "ids", "decoded"])
     codec.release()
+    give_back()
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:

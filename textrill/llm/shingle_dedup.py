@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.bpe_automaton import text_batches
-from textrill.llm.common import blocks, components, extended, fresh, table
+from textrill.llm.common import blocks, components, extended, fresh, give_back, table
 from textrill.session import materialise
 
 WORDS = 5
@@ -136,6 +136,7 @@ def sketches(docs: DataFrame, mark: tuple[str, ...] = ()) -> DataFrame:
                     ],
                     ["doc_id", *mark, "n_shingles", "key", "sig"],
                 )
+        give_back()
 
     marks = "".join(f", `{m}` {docs.schema[m].dataType.simpleString()}" for m in mark)
     return docs.select("doc_id", "text", *mark).mapInArrow(
@@ -204,6 +205,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [batch.column(0).slice(begin, len(texts)), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
                     ["doc_id", "key", "set"],
                 )
+        give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
