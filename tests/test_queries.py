@@ -32,5 +32,5 @@ def test_entry_runs(spark, small):
 
 def test_comparison_has_a_row_per_learner(spark, small):
     rows = entry.queries()["p5_compare_classifiers"](spark, small).collect()
-    assert {r["learner"] for r in rows} == {"naive_bayes", "svm_cascade", "pair_votes", "ftrl"}
+    assert {r["learner"] for r in rows} == {"naive_bayes", "svm_cascade", "pair_votes", "ftrl", "logistic_sgd"}
     assert all(0.0 <= r["accuracy"] <= 1.0 for r in rows)

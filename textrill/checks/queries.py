@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from textrill.functions import text as tx
 from textrill.operators import (
     cleaning,
     ftrl,
+    ftrl_rows,
     labelled,
     metrics,
     multiclass,
@@ -399,10 +401,24 @@ def t3(spark, sf):
 def t3_joined(spark, sf):
     words = line_io.read_stop_words(spark, stop_file(spark, sf))
     return cleaning.remove_stop_words(
-        raw_documents(spark, sf), words, "[ \n]", inline_words=0
+        raw_documents(spark, sf), words, "[ \n]", policy=JoinPolicy(broadcast_bytes=0)
     ).select("id", "text")
 
 
+@query("t3_stream_of_long_list", STOPPED)
+def t3_stream(spark, sf):
+    """A stream, and a list of over 10,000 words that takes several steps."""
+    words = line_io.read_stop_words(spark, stop_file(spark, sf)).select("word")
+    more = spark.range(10_001).select(F.concat(F.lit("absent"), F.col("id").cast("string")).alias("word"))
+    source, progress, out = (scratch_path(spark, name) for name in ("arriving", "progress", "stopped"))
+    raw_documents(spark, sf).write.parquet(source)
+    stream = line_io.stream_table(spark, source, "id BIGINT, y STRING, text STRING")
+    kept = cleaning.remove_stop_words(stream, words.unionAll(more), "[ \n]", policy=JoinPolicy(broadcast_bytes=1 << 18))
+    writer = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select("id", "text")
+
+
 @query("t4_cleaner_chain", f"SELECT doc_id AS id, {sql.CLEANED} AS text FROM documents")
 def t4(spark, sf):
     return raw_documents(spark, sf).transform(cleaning.cleaner(TEXT)).select("id", "text")
@@ -725,6 +741,19 @@ def _trained(spark, sf, passes: int, cfg: FtrlConfig = CFG):
     return feats, labels, state
 
 
+@once("trained_rows")
+def trained_rows(spark, sf):
+    """The labels, the written state and the losses after three passes over the embeddings, a row per vector."""
+    rows = ftrl_rows.vector_rows(embeddings(spark, sf)).persist()
+    found = rows.groupBy("y").agg(F.max(F.size("v")).alias("width")).collect()
+    labels = ftrl.known_labels([], (r["y"] for r in found))
+    keys = pa.array(range(max(r["width"] for r in found)), pa.int32())
+    start = ftrl_rows.state_of(None, keys, len(labels), spark)
+    state, losses = ftrl_rows.train(rows, start, labels, CFG)
+    rows.unpersist()
+    return labels, materialise(state.frame(spark), "state"), ftrl_rows.losses_frame(spark, labels, losses)
+
+
 @once("one_pass")
 def one_pass(spark, sf):
     return _trained(spark, sf, 1)
@@ -792,10 +821,23 @@ def l4(spark, sf):
 
 @query("l5_train_batch", sql.with_(*THREE_PASSES) + sql.STATE)
 def l5(spark, sf):
+    labels, state, _ = trained_rows(spark, sf)
+    return _state(state, labels)
+
+
+@query("l5_train_batch_joined", sql.with_(*THREE_PASSES) + sql.STATE)
+def l5_joined(spark, sf):
+    """The same with long features that meet the state in joins."""
     _, labels, state = three_passes(spark, sf)
     return _state(state, labels)
 
 
+@query("l5_pass_losses", sql.with_(*THREE_PASSES) + sql.PASS_LOSSES)
+def l5_losses(spark, sf):
+    _, _, losses = trained_rows(spark, sf)
+    return losses.withColumn("loss", r6("loss"))
+
+
 @query("l5_train_batch_shuffled", sql.with_(*THREE_PASSES) + sql.STATE)
 def l5_shuffled(spark, sf):
     """The same with a state beyond the broadcast bound and labels in several groups."""
@@ -1486,7 +1528,15 @@ def l20(spark, sf):
     return model.predict_on(keyed).select("key", r6("prob").alias("prob"))
 
 
-@query("l22_sampled_steps")
+@query(
+    "l22_sampled_steps",
+    sql.with_(
+        sql.DENSE_X,
+        ("targets", "SELECT vec_id AS id, 0 AS m, CASE WHEN label = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS t FROM embeddings"),
+        *sql.sgd(5, 0.5, reg=0.1, fraction=0.5),
+    )
+    + f"\nSELECT x.id, {sql.r6('1 / (1 + exp(-sum(x.x * w.w)))')} AS prob FROM x JOIN w5 w ON w.pos = x.pos GROUP BY x.id",
+)
 def l22(spark, sf):
     """All settings set, steps on a sample of the rows."""
     rows = embeddings(spark, sf).select(
@@ -1495,7 +1545,7 @@ def l22(spark, sf):
     cfg = SgdConfig(step=0.5, iterations=5, reg=0.1, batch_fraction=0.5)
     w = sgd.train(rows, np.zeros((1, sgd.width_of(rows))), cfg)[0]
     rows.unpersist()
-    return rows.select("id", sgd.probability("features", w).alias("prob"))
+    return rows.select("id", r6(sgd.probability("features", w)).alias("prob"))
 
 
 # --- evaluation -------------------------------------------------------------------------

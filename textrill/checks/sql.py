@@ -299,6 +299,19 @@ def trained(
     return ctes
 
 
+def _pass_loss(k: int, state: str) -> str:
+    loss = r6("avg(CASE WHEN y = label THEN ln(1 + exp(-m)) ELSE ln(1 + exp(-m)) + m END)")
+    return (
+        f"SELECT label, {k}::INTEGER AS pass, {loss} AS loss FROM (SELECT r.y, l.label, coalesce(s.m, 0.0::DOUBLE) AS m "
+        f"FROM rows r CROSS JOIN l_all l LEFT JOIN (SELECT f.id, p.label, sum(f.v * {weight('p.z', 'p.n')}) AS m "
+        f"FROM feats f JOIN {state} p ON p.idx = f.idx GROUP BY f.id, p.label) s ON s.id = r.id AND s.label = l.label) "
+        "GROUP BY label"
+    )
+
+
+# the mean loss of each label under the state that each pass starts from
+PASS_LOSSES = "\n" + "\nUNION ALL ".join(_pass_loss(k, state) for k, state in ((1, "s0"), (2, "t1"), (3, "t2")))
+
 STATE = (
     f"\nSELECT label, idx, {r6('z')} AS z, {r6('n')} AS n, {r6(weight('z', 'n'))} AS w FROM state"
 )
@@ -317,8 +330,13 @@ def sgd(
     feats: str = "x",
     start: str | None = None,
     name: str = "w",
+    fraction: float | None = None,
+    seed: int = 42,
 ) -> list[tuple[str, str]]:
-    """Blocks ``{name}0``..``{name}N(m, pos, w, done)`` for rows(id, m, t) and feats(id, pos, x)."""
+    """Blocks ``{name}0``..``{name}N(m, pos, w, done)`` for rows(id, m, t) and feats(id, pos, x).
+
+    With ``fraction``, step t takes the rows of which the digest of seed + t and id is below it.
+    """
     start = start or (
         f"SELECT m, pos, 0.0::DOUBLE AS w, false AS done FROM (SELECT DISTINCT m FROM {rows}) "
         f"CROSS JOIN (SELECT DISTINCT pos FROM {feats})"
@@ -331,12 +349,14 @@ def sgd(
     )
     for t in range(1, iterations + 1):
         rate = f"({step}::DOUBLE / sqrt({t}::DOUBLE))"
+        digest = f"('0x' || substr(md5('{seed + t}-' || r.id), 1, 8))::BIGINT::DOUBLE"
+        taken = "" if fraction is None else f" WHERE {digest} < {fraction}::DOUBLE * 4294967296.0::DOUBLE"
         ctes += [
             (
                 f"{name}m{t}",
                 f"SELECT r.id, r.m, any_value(r.t) AS t, sum(f.x * w.w) AS mg FROM {rows} r "
-                f"JOIN {feats} f ON f.id = r.id JOIN {name}{t - 1} w ON w.m = r.m AND w.pos = f.pos "
-                f"GROUP BY r.id, r.m",
+                f"JOIN {feats} f ON f.id = r.id JOIN {name}{t - 1} w ON w.m = r.m AND w.pos = f.pos"
+                f"{taken} GROUP BY r.id, r.m",
             ),
             (
                 f"{name}g{t}",

@@ -1,23 +1,21 @@
-"""Text cleaning as DataFrame steps (T1-T4). All work on batch and on streaming frames,
-but for the list join of ``remove_stop_words``, which is for batches."""
+"""Text cleaning as DataFrame steps (T1-T4). All work on batch and on streaming frames."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy, TextConfig
 from textrill.functions import text as tx
-from textrill.operators.joins import lookup_join
+from textrill.operators.joins import lookup_join, measure
 from textrill.session import materialise
 
 Step = Callable[[DataFrame], DataFrame]
 
-# a list up to this length goes into the expression, a longer one is joined
-INLINE_WORDS = 10_000
-
 
 def clear_text(df: DataFrame, separator: str = " ", column: str = "text") -> DataFrame:
     """T1."""
@@ -36,6 +34,26 @@ def remove_words(
     return df.withColumn(column, tx.drop_words(F.col(column), words, separator))
 
 
+# what a word takes in a set beside its own bytes
+WORD_BYTES = 112
+
+
+def _without(df: DataFrame, words: DataFrame, column: str) -> DataFrame:
+    """Drop the words of a small list from the token arrays in ``column``."""
+    shared = df.sparkSession.sparkContext.broadcast(words.toArrow()["word"].combine_chunks())
+    at, names = df.columns.index(column), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped = frozenset(shared.value.to_pylist())
+        for batch in batches:
+            tokens = [x if x is None else [t for t in x if t not in dropped] for x in batch.column(at).to_pylist()]
+            columns = batch.columns
+            columns[at] = pa.array(tokens, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def remove_stop_words(
     df: DataFrame,
     words: DataFrame,
@@ -43,20 +61,23 @@ def remove_stop_words(
     column: str = "text",
     id_column: str = "id",
     policy: JoinPolicy = JoinPolicy(),
-    inline_words: int = INLINE_WORDS,
 ) -> DataFrame:
     """T3 for a table ``words(word)`` of any size.
 
-    Up to ``inline_words`` words become a hash set inside the expression, so texts are not
-    shuffled. A longer list is joined with the exploded tokens, and each text is put
-    together again in token order; a text comes from one row, so its group is bounded by it.
+    A list within the broadcast bound, measured in bytes, goes to the texts as a set; they aren't shuffled. On a stream a
+    larger list goes as several such sets, one step behind the other. On a table it is joined with the exploded
+    tokens, and each text is put together again in token order; a text comes from one row, so its group is bounded by it.
     There the rows are written once with a number of their own, so that repeated and null
-    values of ``id_column`` keep their rows apart. Both ways leave a null text null.
+    values of ``id_column`` keep their rows apart. All ways give the same and leave a null text null.
     """
     words = words.select("word").where(F.col("word").isNotNull()).distinct()
-    head = words.limit(inline_words + 1).collect()
-    if len(head) <= inline_words:
-        return remove_words(df, (row["word"] for row in head), separator, column)
+    count, width = measure(words, "word", WORD_BYTES)
+    parts = max(1, math.ceil(count * width / max(1, policy.broadcast_bytes)))
+    if parts == 1 or df.isStreaming:
+        kept = df.withColumn(column, tx.java_split(F.col(column), separator)) if count else df
+        for k in range(parts if count else 0):
+            kept = _without(kept, words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k), column)
+        return kept.withColumn(column, F.array_join(column, " ")) if count else df
 
     row = "_row"
     while row in df.columns:
@@ -71,8 +92,8 @@ def remove_stop_words(
         tokens,
         words.withColumn("_stop", F.lit(True)),
         "word",
-        right_rows=words.count(),
-        row_bytes=64,
+        right_rows=count,
+        row_bytes=width,
         spread=F.col(row),
         policy=policy,
     )

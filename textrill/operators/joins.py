@@ -33,6 +33,13 @@ def partitions(df: DataFrame, texts: int) -> int:
     return max(min(usual, small), math.ceil(texts / MOST_TEXTS))
 
 
+def measure(df: DataFrame, key: str, other_bytes: int) -> tuple[int, int]:
+    """Rows of a lookup table, and the bytes of one: the mean of its keys as counted, and ``other_bytes`` beside it."""
+    size = F.sum(F.octet_length(F.col(key).cast("string")))
+    rows, keys = df.agg(F.count("*"), size).first()
+    return rows, other_bytes + math.ceil((keys or 0) / max(1, rows))
+
+
 def fits_broadcast(rows: int, row_bytes: int, policy: JoinPolicy) -> bool:
     """True if a table of ``rows`` rows of ``row_bytes`` bytes may be broadcast."""
     return rows * row_bytes <= policy.broadcast_bytes

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
-from textrill.operators.joins import lookup_join
+from textrill.operators.joins import lookup_join, measure
 from textrill.operators.tfidf import exploded
 from textrill.session import shared_dir
 
@@ -57,12 +57,14 @@ def weighted_vectors(
     shared_dir(docs.sparkSession)
     key = F.struct("y", "word").alias("_key")
     weights = weights.select(key, "mi").checkpoint()
+    pairs, pair_bytes = measure(weights, "_key", 96)
+    words, word_bytes = measure(word_vec, "word", 64 + 4 * size)
     scored = lookup_join(
         counted.select("*", key),
         weights,
         "_key",
-        right_rows=weights.count(),
-        row_bytes=96,
+        right_rows=pairs,
+        row_bytes=pair_bytes,
         spread=F.col("id"),
         policy=policy,
     ).drop("_key")
@@ -70,8 +72,8 @@ def weighted_vectors(
         scored,
         word_vec.select("word", "vec"),
         "word",
-        right_rows=word_vec.count(),
-        row_bytes=64 + 4 * size,
+        right_rows=words,
+        row_bytes=word_bytes,
         spread=F.col("id"),
         policy=policy,
     )

@@ -72,6 +72,12 @@ def gradient(rows: DataFrame, weights: np.ndarray, loss: str) -> tuple[np.ndarra
     return full[:, 1:], full[:, 0]
 
 
+def sampled(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """L22. About ``fraction`` of the rows, by a digest of seed and id: the same ones however the rows are dealt out."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))
+    return rows.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") < fraction * 2.0**32)
+
+
 def train(
     rows: DataFrame, weights: np.ndarray, cfg: SgdConfig = SgdConfig()
 ) -> np.ndarray:
@@ -84,7 +90,7 @@ def train(
     w = np.array(weights, dtype=float)
     active = np.ones(len(w), dtype=bool)
     for t in range(1, cfg.iterations + 1):
-        sample = rows if cfg.batch_fraction >= 1 else rows.sample(cfg.batch_fraction, cfg.seed + t)
+        sample = rows if cfg.batch_fraction >= 1 else sampled(rows, cfg.batch_fraction, cfg.seed + t)
         g, n = gradient(sample, w, cfg.loss)
         rate = cfg.step / np.sqrt(t)
         moved = w * (1 - rate * cfg.reg) - rate * g / np.maximum(n, 1)[:, None]
@@ -109,6 +115,22 @@ def width_of(rows: DataFrame) -> int:
     return found["high"]
 
 
+def answers(rows: DataFrame, weights: np.ndarray, decide, fields: str, *keys: str) -> DataFrame:
+    """``(*keys, fields)`` of ``rows(*keys, features)``: ``decide`` turns the margins of all models, one matrix
+    product per Arrow batch, into columns."""
+    kept = rows.select(*keys, "features")
+    types = [f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = decide(_matrix(batch.column(len(keys)), weights.shape[1]) @ weights.T)
+                names = [*keys, *(f"f{i}" for i in range(len(columns)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], names)
+
+    return kept.mapInArrow(run, ", ".join([*types, fields]))
+
+
 def margin(features: str, weights: Sequence[float]) -> Column:
     """Product of a feature array with fixed weights, without leaving the row."""
     values = "array(" + ", ".join(linear.number(w) for w in weights) + ")"

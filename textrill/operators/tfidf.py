@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
 from textrill.functions import text as tx
-from textrill.operators.joins import lookup_join, partitions
+from textrill.operators.joins import lookup_join, measure, partitions
 from textrill.session import shared_dir
 
 TERM_BYTES = 64
@@ -107,12 +107,13 @@ def tfidf(
     shared_dir(docs.sparkSession)
     texts = docs.count()
     idf = inverse_document_frequency(docs, buckets, texts=texts).select("idx", "idf").checkpoint()
+    terms, width = measure(idf, "idx", TERM_BYTES)
     joined = lookup_join(
         term_counts(docs.repartition(partitions(docs, texts), "id"), buckets, carry),
         idf,
         "idx",
-        right_rows=idf.count(),
-        row_bytes=TERM_BYTES,
+        right_rows=terms,
+        row_bytes=width,
         spread=F.col("id"),
         policy=policy,
     )
@@ -131,12 +132,13 @@ def tfidf_by_batch(
     key = F.when(F.col("idx").isNotNull(), F.struct("batch", "idx")).alias("_key")
     tf = term_counts(docs, buckets, ["batch"]).select("*", key)
     idf = inverse_document_frequency(docs, buckets, ["batch"]).select(key, "idf").checkpoint()
+    terms, width = measure(idf, "_key", TERM_BYTES)
     joined = lookup_join(
         tf,
         idf,
         "_key",
-        right_rows=idf.count(),
-        row_bytes=TERM_BYTES,
+        right_rows=terms,
+        row_bytes=width,
         spread=F.col("id"),
         policy=policy,
     )

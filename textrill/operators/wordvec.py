@@ -6,19 +6,21 @@ the vocabulary trained first and ``added`` for words met later.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.errors import AnalysisException
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
-from textrill.operators.joins import fits_broadcast, lookup_join
+from textrill.operators.joins import fits_broadcast, lookup_join, measure
 from textrill.operators.labelled import with_ordinal
 from textrill.operators.tfidf import exploded
-from textrill.session import materialise
+from textrill.session import materialise, path_exists
 
 # Tokens that one training task takes, and what the driver may hold of a vocabulary in training.
 TASK_TOKENS = 500_000
@@ -82,10 +84,55 @@ def from_model(model: Word2VecModel, origin: str = "base") -> DataFrame:
 
 def load_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """S8. A saved word-vector table, or a saved model."""
-    try:
-        return spark.read.parquet(path).select("word", "vec", "origin")
-    except AnalysisException:
+    if path_exists(spark, f"{path}/metadata"):  # what the library writes beside its data
         return from_model(Word2VecModel.load(path))
+    return spark.read.parquet(path).select("word", "vec", "origin")
+
+
+def vector_sizes(word_vec: DataFrame, size: int) -> tuple[int, int]:
+    """The words of a table, and the bytes that one and its vector take in a task."""
+    return measure(word_vec, "word", 96 + 8 * size)
+
+
+class VectorTable:
+    """Word vectors within the broadcast bound, sent to the tasks once."""
+
+    def __init__(self, words: pa.Array, vectors: np.ndarray, spark: SparkSession):
+        self.shared = spark.sparkContext.broadcast((words, vectors))
+
+    @classmethod
+    def of(cls, word_vec: DataFrame) -> "VectorTable":
+        found = word_vec.where("word IS NOT NULL AND vec IS NOT NULL").select("word", F.col("vec").cast("array<double>")).toArrow()
+        lists = found["vec"].combine_chunks()
+        vectors = pc.fill_null(lists.flatten(), 0.0).to_numpy().reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+        return cls(found["word"].combine_chunks(), vectors, word_vec.sparkSession)
+
+
+def row_vectors(docs: DataFrame, table: VectorTable, size: int, carry: Sequence[str] = ()) -> DataFrame:
+    """F7 for each row by itself: ``(id, *carry, features)``, rows that share an id stay apart."""
+    kept = docs.select("id", *carry, "tokens")
+    keys = kept.columns[:-1]
+    types = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
+    shared = table.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = shared.value
+        for batch in batches:
+            tokens = batch.column(len(keys))
+            counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+            at = pc.index_in(tokens.flatten(), value_set=words)
+            row = np.repeat(np.arange(len(counts)), counts)[at.is_valid().to_numpy(zero_copy_only=False)]
+            known = at.drop_null().to_numpy()
+            out = np.zeros((len(counts), size))
+            for k in range(min(size, vectors.shape[1])):
+                out[:, k] = np.bincount(row, weights=vectors[known, k], minlength=len(counts))
+            out /= np.maximum(counts, 1)[:, None]
+            ends = np.arange(len(counts) + 1, dtype=np.int32) * size
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(ends, out.ravel())], [*keys, "features"]
+            )
+
+    return kept.mapInArrow(run, f"{types}, features array<double>")
 
 
 def document_vectors(
@@ -94,35 +141,32 @@ def document_vectors(
     size: int,
     carry: Sequence[str] = (),
     policy: JoinPolicy = JoinPolicy(),
-    words: int | None = None,
+    measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """F7. ``(id, *carry, features)``: the sum of known words' vectors over the count of all tokens.
 
     Unknown words add nothing but count in the divisor; a text without tokens gets zeros.
-    If the vector table may be broadcast, a text's tokens meet it where they are and are
-    summed in their task, so one row per text is shuffled. Otherwise words are counted per
-    text first and each distinct word is looked up once.
+    If the vector table may be broadcast, it goes to the rows, which stay where they are, and nothing is shuffled.
+    Otherwise words are counted per text first and each distinct word is looked up once.
     """
-    words = word_vec.count() if words is None else words
-    row_bytes = 64 + 4 * size
+    words, width = measured or vector_sizes(word_vec, size)
+    if fits_broadcast(words, width, policy):
+        return row_vectors(docs, VectorTable.of(word_vec), size, carry)
     tokens = docs.select(
         "id",
         *carry,
         F.size("tokens").alias("_n"),
         F.posexplode_outer("tokens").alias("_pos", "word"),
     )
-    if fits_broadcast(words, row_bytes, policy):
-        tokens = tokens.withColumn("_tf", F.lit(1.0))
-    else:
-        tokens = tokens.groupBy("id", *carry, "_n", "word").agg(
-            F.count("*").cast("double").alias("_tf"), F.min("_pos").alias("_pos")
-        )
+    tokens = tokens.groupBy("id", *carry, "_n", "word").agg(
+        F.count("*").cast("double").alias("_tf"), F.min("_pos").alias("_pos")
+    )
     met = lookup_join(
         tokens,
         word_vec.select("word", "vec"),
         "word",
         right_rows=words,
-        row_bytes=row_bytes,
+        row_bytes=width,
         spread=F.col("id"),
         policy=policy,
     )
@@ -137,21 +181,20 @@ def document_vectors(
     return summed.selectExpr("id", *carry, f"array({means}) AS features")
 
 
-def unfamiliar_texts(
-    docs: DataFrame, base: DataFrame, policy: JoinPolicy = JoinPolicy(), words: int | None = None
-) -> DataFrame:
+def unfamiliar_texts(docs: DataFrame, base: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFrame:
     """F8. Texts of ``docs(id, ..., tokens)`` that share no word with the base vocabulary.
 
     A text is kept or dropped as one group of its own tokens, marked by one lookup.
     """
     known = base.select("word", F.lit(1).alias("_known"))
     tokens = exploded(docs, F.array_distinct("tokens"), "word", ["id"])
+    words, width = measure(base, "word", 64)
     marked = lookup_join(
         tokens,
         known,
         "word",
-        right_rows=base.count() if words is None else words,
-        row_bytes=64,
+        right_rows=words,
+        row_bytes=width,
         spread=F.col("id"),
         policy=policy,
         how="inner",

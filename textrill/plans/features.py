@@ -1,4 +1,8 @@
-"""From raw text to the long features of the learners (F14), as one function per choice."""
+"""From raw text to the features of the learners (F14), as one function per choice.
+
+A featuriser gives long features. One that can also give a row per text says so by an attribute: ``vectors`` for rows
+``(id, y, v)``, ``terms`` for rows ``(id, y, idx, v)`` whose values still take the batch's IDF.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from textrill.config import JoinPolicy, TextConfig
-from textrill.operators import cleaning, ftrl, tfidf, wordvec
+from textrill.operators import cleaning, ftrl, ftrl_rows, tfidf, wordvec
+from textrill.operators.joins import fits_broadcast
 
 Featurise = Callable[[DataFrame, int], DataFrame]
 
@@ -32,11 +37,24 @@ def featuriser(
     def terms(batch: DataFrame, batch_id: int) -> DataFrame:
         return tfidf.tfidf(split(batch), cfg.hash_buckets, ["y"], policy)
 
-    def vectors(batch: DataFrame, batch_id: int) -> DataFrame:
+    seen: dict[str, object] = {}  # the table is counted once, and sent to the tasks once where it is small enough
+
+    def means(batch: DataFrame) -> DataFrame:
         if word_vec is None:
             raise ValueError("the word_vectors featuriser needs a word-vector table")
-        means = wordvec.document_vectors(split(batch), word_vec, cfg.vector_size, ["y"], policy)
-        return ftrl.dense_features(means)
+        if "words" not in seen:
+            seen["words"] = wordvec.vector_sizes(word_vec, cfg.vector_size)
+            if fits_broadcast(*seen["words"], policy):
+                seen["table"] = wordvec.VectorTable.of(word_vec)
+        if "table" in seen:
+            return wordvec.row_vectors(split(batch), seen["table"], cfg.vector_size, ["y"])
+        return wordvec.document_vectors(split(batch), word_vec, cfg.vector_size, ["y"], policy, seen["words"])
+
+    def vectors(batch: DataFrame, batch_id: int) -> DataFrame:
+        return ftrl.dense_features(means(batch))
+
+    terms.terms = lambda batch, batch_id: ftrl_rows.term_rows(split(batch), cfg.hash_buckets)
+    vectors.vectors = lambda batch, batch_id: ftrl_rows.vector_rows(means(batch))
 
     choices: dict[str, Featurise] = {"tfidf": terms, "word_vectors": vectors}
     if cfg.featuriser not in choices:
@@ -47,3 +65,6 @@ def featuriser(
 def dense(batch: DataFrame, batch_id: int) -> DataFrame:
     """Featuriser of rows that already are vectors, ``(id, y, features)``."""
     return ftrl.dense_features(batch)
+
+
+dense.vectors = lambda batch, batch_id: ftrl_rows.vector_rows(batch)

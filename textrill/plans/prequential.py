@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig
-from textrill.operators import ftrl, metrics
-from textrill.operators.joins import partitions
+from textrill.operators import ftrl, ftrl_rows, metrics
+from textrill.operators.joins import MOST_TEXTS, partitions
 from textrill.sources.model_store import Model, ModelStore, Score
 
 Featurise = Callable[[DataFrame, int], DataFrame]
@@ -31,7 +33,20 @@ def step(
     batch is skipped. Rows without a label are scored, and left out of training and accuracy;
     a batch of such rows alone, with no model before it, is skipped too. With ``scored`` off
     the batch is trained on once, and there are no predictions, metrics or drift.
+
+    Where the featuriser gives a row per text and the batch's coordinates are within the broadcast bound, their state
+    goes to the rows (``ftrl_rows``); otherwise the features meet the state in joins.
     """
+    vectors, terms = (getattr(featurise, name, None) for name in ("vectors", "terms"))
+    if vectors or terms:
+        rows = vectors(batch, batch_id) if vectors else terms(_spread(batch), batch_id)
+        rows.persist()
+        try:
+            return _row_step(store, rows, batch_id, cfg, scored, bool(terms))
+        except TooWide:
+            pass  # the same batch by way of joins
+        finally:
+            rows.unpersist()
     size = batch.count()
     if size == 0:
         return None
@@ -65,6 +80,78 @@ def step(
         feats.unpersist()
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """A small batch dealt out to as many tasks as it is worth; a large one stays in those that read it."""
+    size = batch.count()
+    parts = partitions(batch, size)
+    return batch.repartition(parts) if size <= MOST_TEXTS else batch
+
+
+class TooWide(Exception):
+    """A batch touches more coordinates than may live with the caller."""
+
+
+def _row_step(
+    store: ModelStore, rows: DataFrame, batch_id: int, cfg: FtrlConfig, scored: bool, terms: bool
+) -> Model | None:
+    """One batch of kept rows; ``terms`` says that they hold terms, whose counts take the IDF of this batch."""
+    width = F.lit(0) if terms else F.max(F.size("v"))
+    counted = rows.groupBy("y").agg(F.count("*").alias("rows"), width.alias("width")).collect()  # a row per label
+    size = sum(r["rows"] for r in counted)
+    if size == 0:
+        return None
+    prior = store.latest(before=batch_id)
+    known = prior.labels if prior else []
+    labels = ftrl.known_labels(known, (r["y"] for r in counted))
+    if not labels:
+        return None
+    if terms:
+        stats = ftrl_rows.term_statistics(rows).persist()
+        try:
+            if not ftrl_rows.fits(*stats.agg(F.count("*"), F.sum(F.octet_length(F.col("idx").cast("string")))).first(), len(labels), cfg):
+                raise TooWide
+            found = stats.toArrow()
+        finally:
+            stats.unpersist()
+        keys = found["idx"].combine_chunks()
+        idf = np.log((size + 1.0) / (found["df"].to_numpy() + 1.0))
+    else:
+        keys = pa.array(range(max(0, *(r["width"] or 0 for r in counted))), pa.int32())
+        if not ftrl_rows.fits(len(keys), 4 * len(keys), len(labels), cfg):
+            raise TooWide
+    state = ftrl_rows.state_of(prior.state if prior else None, keys, len(labels), store.spark)
+    kept = ftrl_rows.positions(rows, keys, idf).persist() if terms else rows
+    try:
+        score = _score_rows(store, kept, state, prior, batch_id, cfg) if prior and scored else Score()
+        passes = 2 * cfg.passes if score.drift else cfg.passes
+        trained, _ = ftrl_rows.train(kept, state, labels, cfg, passes)
+    finally:
+        if terms:
+            kept.unpersist()
+    first = (prior.first_batch if prior else []) + [batch_id] * (len(labels) - len(known))
+    total = (prior.state_rows if prior else 0) + len(keys) - state.known
+    return store.commit(batch_id, trained.frame(store.spark), labels, first, cfg, score, prior, total)
+
+
+def _score_rows(
+    store: ModelStore, kept: DataFrame, state: ftrl_rows.State, prior: Model, batch_id: int, cfg: FtrlConfig
+) -> Score:
+    """Write the predictions of the labels known before; they are counted while they are written."""
+    size = len(prior.labels)
+    before = ftrl_rows.State(state.keys, state.z[:, :size], state.n[:, :size])
+    seen = Observation()
+    found = ftrl_rows.best_label(kept, before, prior.labels, cfg)
+    labelled = F.col("y").isNotNull()
+    store.write(
+        "predictions", batch_id,
+        found.observe(seen, F.count_if(labelled).alias("rows"), F.count_if(labelled & (F.col("y") == F.col("pred"))).alias("correct")),
+    )
+    counts = seen.get
+    now = counts["correct"] / counts["rows"] if counts["rows"] else None
+    drifted = None not in (prior.score.accuracy, now) and prior.score.accuracy - now > cfg.drift_drop
+    return Score(counts["rows"], counts["correct"], now, drifted)
+
+
 def _score(
     store: ModelStore, feats: DataFrame, prior: Model, batch_id: int, cfg: FtrlConfig
 ) -> Score:

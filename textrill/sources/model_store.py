@@ -1,8 +1,9 @@
 """Versioned model tables (S11, S12) and the per-batch outputs beside them.
 
 Layout under ``root``: ``predictions/version=N`` holds what batch N gave, ``weights/version=N``
-the coordinates after it, ``model/version=N`` the labels with the settings and the batch's
-metrics. A version is written whole by overwrite, ``model`` last: a batch that is run again
+the coordinates that it changed, ``model/version=N`` the labels with the settings and the batch's
+metrics. A coordinate's state is that of the last version that has it, from the version ``base`` on, which holds all;
+after ``COMPACT`` versions the next one is a base again. So what a batch writes follows the batch, not the state. A version is written whole by overwrite, ``model`` last: a batch that is run again
 after a failure writes the same version again from the version before it.
 """
 
@@ -18,13 +19,16 @@ from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig, JoinPolicy
 from textrill.functions.linear import number, text
-from textrill.session import is_missing
+from textrill.session import is_missing, path_exists
 
 MODEL_SCHEMA = (
     "label STRING, ord INT, first_batch BIGINT, state_rows BIGINT, rows BIGINT, correct BIGINT, "
-    "accuracy DOUBLE, drift BOOLEAN, settings STRING"
+    "accuracy DOUBLE, drift BOOLEAN, settings STRING, base BIGINT"
 )
 
+# versions of changed coordinates that are read together before a whole state is written
+COMPACT = 16
+
 
 @dataclass(frozen=True)
 class Score:
@@ -47,12 +51,19 @@ class Model:
     first_batch: list[int]
     score: Score
     settings: FtrlConfig
+    base: int = 0
 
 
 def _bigint(value: int | None) -> str:
     return "CAST(NULL AS BIGINT)" if value is None else f"{value}L"
 
 
+def last_states(states: DataFrame) -> DataFrame:
+    """``(idx, z, n)``: of each coordinate what its last ``version`` says, combined before the shuffle."""
+    last = states.groupBy("idx").agg(F.max_by(F.struct("z", "n"), "version").alias("_last"))
+    return last.select("idx", "_last.z", "_last.n")
+
+
 class ModelStore:
     """Tables of one online model under a shared path."""
 
@@ -87,10 +98,26 @@ class ModelStore:
         first_batch: Sequence[int],
         cfg: FtrlConfig,
         score: Score = Score(),
+        prior: Model | None = None,
+        rows: int | None = None,
     ) -> Model:
-        """S11. Write a version: the coordinates, then the labels that make it visible."""
+        """S11. Write a version: the coordinates, then the labels that make it visible.
+
+        With ``prior``, ``state`` holds only what has changed since that version; ``rows`` is the number of all
+        coordinates, where it is known.
+        """
+        base = version
+        if prior is not None:
+            if version - prior.base < COMPACT:
+                base = prior.base
+            else:
+                state = last_states(
+                    prior.state.withColumn("version", F.lit(0)).unionByName(state.withColumn("version", F.lit(1)))
+                )
         written = self.write("weights", version, state)
-        rows = written.count()
+        rows = written.count() if rows is None else rows
+        if base < version:
+            written = self.states(base, version)
         facts = {
             "state_rows": f"{rows}L",
             "rows": _bigint(score.rows),
@@ -98,6 +125,7 @@ class ModelStore:
             "accuracy": "CAST(NULL AS DOUBLE)" if score.accuracy is None else number(score.accuracy),
             "drift": str(score.drift).lower(),
             "settings": text(json.dumps(asdict(cfg))),
+            "base": f"{base}L",
         }
         constant = ", ".join(f"'{name}', {value}" for name, value in facts.items())
         entries = ", ".join(
@@ -107,19 +135,28 @@ class ModelStore:
         )
         one = self.spark.range(0, 1, 1, 1)
         self.write("model", version, one.selectExpr(f"inline(array({entries}))"))
-        return Model(version, written, rows, list(labels), list(first_batch), score, cfg)
+        return Model(version, written, rows, list(labels), list(first_batch), score, cfg, base)
+
+    def states(self, base: int, version: int) -> DataFrame:
+        """The whole state at a version: of each coordinate the last of the versions from ``base`` on."""
+        if base == version:
+            return self.spark.read.parquet(self.path("weights", version))
+        found = self.spark.read.parquet(self.path("weights"))
+        return last_states(found.where((F.col("version") >= base) & (F.col("version") <= version)))
 
     def read_version(self, table: str, version: int) -> DataFrame | None:
         """One version of a table by its path, or None."""
-        try:
-            return self.spark.read.parquet(self.path(table, version))
-        except AnalysisException as error:
-            if not is_missing(error):
-                raise
-            return None
+        path = self.path(table, version)
+        return self.spark.read.parquet(path) if self._written(path) else None
+
+    def _written(self, path: str) -> bool:
+        """Whether a write to ``path`` has been finished."""
+        return path_exists(self.spark, f"{path}/_SUCCESS")
 
     def versions(self, table: str = "model") -> list[int]:
         """Written versions of a table in order; those of ``model`` are the committed ones."""
+        if not path_exists(self.spark, self.path(table)):
+            return []
         try:
             found = self.spark.read.parquet(self.path(table)).select("version").distinct()
         except AnalysisException as error:
@@ -130,23 +167,22 @@ class ModelStore:
 
     def load(self, version: int) -> Model | None:
         """S12. One committed version, or None."""
-        try:
-            rows = self.spark.read.schema(MODEL_SCHEMA).parquet(self.path("model", version)).collect()
-        except AnalysisException as error:
-            if not is_missing(error):
-                raise
+        path = self.path("model", version)
+        if not self._written(path):
             return None
+        rows = self.spark.read.schema(MODEL_SCHEMA).parquet(path).collect()
         rows.sort(key=lambda row: row["ord"])
         settings = json.loads(rows[0]["settings"])
         settings["join"] = JoinPolicy(**settings["join"])
         return Model(
             version,
-            self.spark.read.parquet(self.path("weights", version)),
+            self.states(rows[0]["base"], version),
             rows[0]["state_rows"],
             [row["label"] for row in rows],
             [row["first_batch"] for row in rows],
             Score(*(rows[0][name] for name in ("rows", "correct", "accuracy", "drift"))),
             FtrlConfig(**settings),
+            rows[0]["base"],
         )
 
     def latest(self, before: int | None = None) -> Model | None:

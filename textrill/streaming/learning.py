@@ -110,7 +110,7 @@ def growing_vectors(
     and writes nothing.
     """
     split = tokens_of(cfg)
-    base_words = base.count()
+    base_sizes = wordvec.vector_sizes(base, cfg.vector_size)
 
     def before(batch_id: int) -> DataFrame:
         try:
@@ -138,8 +138,8 @@ def growing_vectors(
         return embedded(split(batch), before(batch_id))
 
     def embedded(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-        words = base_words if vectors is base else vectors.count()
-        means = wordvec.document_vectors(docs, vectors, cfg.vector_size, ["y"], policy, words)
+        sizes = base_sizes if vectors is base else wordvec.vector_sizes(vectors, cfg.vector_size)
+        means = wordvec.document_vectors(docs, vectors, cfg.vector_size, ["y"], policy, sizes)
         return ftrl.dense_features(means)
 
     run.frozen = frozen
