@@ -161,17 +161,3 @@ def op8_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     found = materialise(index(rows), "onebit-index")
     return nearest(found.where("id % 20 = 0"), found, 20, component_type(rows))
-
-
-OP8_SQL = """
-WITH used AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
-  FROM used q JOIN used c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
