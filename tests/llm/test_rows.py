@@ -172,7 +172,7 @@ def test_quality_minimises_the_bounded_risk(spark, small):
     assert trusted.sum() == len(good) and len(x) == docs.count()
     z = quality.scaled(x, x.mean(axis=0), np.where(x.std(axis=0) < 1e-6, 1.0, x.std(axis=0)))
     least = plain_risk(np.array(model.weights), z, trusted, prior, quality.RIDGE)
-    v = np.zeros(len(w))
+    v = np.zeros(z.shape[1])
     for step in range(4000):
         g = z @ v
         s = 1 / (1 + np.exp(-g))
