@@ -32,7 +32,7 @@ from textrill.operators import (
     tfidf,
     wordvec,
 )
-from textrill.plans import classifier, compare, features, prequential
+from textrill.plans import classifier, compare, features, learners, prequential
 from textrill.session import materialise, scratch_path
 from textrill.sources import lines as line_io
 from textrill.sources import records
@@ -1548,6 +1548,87 @@ def l22(spark, sf):
     return rows.select("id", r6(sgd.probability("features", w)).alias("prob"))
 
 
+def _learned(name: str, rows: DataFrame) -> DataFrame:
+    """Predictions of the test part by a learner that was trained on the other, saved and loaded."""
+    parted = _parted(rows)
+    found = learners.trained_and_reloaded(name, parted.where("part = 'train'").drop("part"))
+    return found.predict(parted.where("part = 'test'"))
+
+
+_train_part = [(n, b + " WHERE vec_id % 10 < 7" if n == "vectors" else b) for n, b in sql.embeddings()]
+
+
+@query(
+    "l23_ftrl",
+    sql.with_(
+        *sql.trained(_train_part, 3),
+        ("test", "SELECT vec_id AS id, label::VARCHAR AS y, unnest(range(len(embedding))) AS idx, "
+         "unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id % 10 >= 7"),
+        ("told", f"SELECT t.id, t.y, s.label, any_value(l.ord) AS ord, sum(t.v * {sql.weight('s.z', 's.n')}) AS m FROM test t "
+         "JOIN state s ON s.idx = t.idx JOIN l_all l ON l.label = s.label GROUP BY t.id, t.y, s.label"),
+    )
+    + "\nSELECT id, y, label AS pred FROM told QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC, ord) = 1",
+)
+def l23_ftrl(spark, sf):
+    return _learned("ftrl", embeddings(spark, sf))
+
+
+@query(
+    "l23_sgd",
+    sql.with_(
+        sql.DENSE_X,
+        ("targets", "SELECT vec_id AS id, l.label AS m, (e.label = l.label)::INT::DOUBLE AS t FROM embeddings e, "
+         "(SELECT DISTINCT label FROM embeddings) l WHERE vec_id % 10 < 7"),
+        *sql.sgd(10, 0.1),
+        ("told", "SELECT x.id, w.m, sum(x.x * w.w) AS mg FROM x JOIN w10 w ON w.pos = x.pos WHERE x.id % 10 >= 7 GROUP BY ALL"),
+    )
+    + "\nSELECT id, label::VARCHAR AS y, m::VARCHAR AS pred FROM told JOIN embeddings ON vec_id = id "
+    "QUALIFY row_number() OVER (PARTITION BY id ORDER BY mg DESC, m) = 1",
+)
+def l23_sgd(spark, sf):
+    return _learned("sgd", embeddings(spark, sf))
+
+
+_nb_train = [
+    ("vocab", "SELECT DISTINCT term FROM words JOIN parts USING (id) WHERE part = 'train'") if n == "vocab" else (n, b) for n, b in _nb
+]
+
+
+@query(
+    "l23_naive_bayes",
+    sql.with_(
+        *_nb_train,
+        (
+            "joint",
+            "SELECT w.id, t.label, sum(t.theta) AS s FROM parts p JOIN words w USING (id) "
+            "JOIN theta t USING (term) WHERE part = 'test' GROUP BY ALL",
+        ),
+    )
+    + "\nSELECT p.id, p.y, pi.label AS pred FROM parts p CROSS JOIN pi "
+    "LEFT JOIN joint j ON j.id = p.id AND j.label = pi.label WHERE part = 'test' "
+    "QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY coalesce(s, 0) + pi DESC, pi.label) = 1",
+)
+def l23_naive_bayes(spark, sf):
+    return _learned("naive_bayes", documents(spark, sf))
+
+
+@query("l23_cascade", SQL["l15_svm_cascade"])
+def l23_cascade(spark, sf):
+    return _learned("cascade", embeddings(spark, sf))
+
+
+_l23_pairs = [(n, b + " WHERE vec_id % 10 < 7" if n == "targets" else b) for n, b in _l16]
+
+
+@query(
+    "l23_pair_votes",
+    sql.with_(*_l23_pairs)
+    + "\nSELECT id, label::VARCHAR AS y, pred::VARCHAR AS pred FROM voted JOIN embeddings ON vec_id = id WHERE id % 10 >= 7",
+)
+def l23_pair_votes(spark, sf):
+    return _learned("pair_votes", embeddings(spark, sf))
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 _per_label = (
