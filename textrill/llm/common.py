@@ -4,6 +4,7 @@ connected components."""
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,31 @@ def give_back() -> None:
         trim(0)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop what finished steps have left: shuffle files go only when it collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def hot_buckets(counts: DataFrame, bucket: str, n: str, share: float = 0.001) -> DataFrame:
+    """The buckets of ``counts(bucket, n)`` with more than ``share`` of all rows, and the ``_pieces`` each is dealt out in.
+
+    Shares add up to 1, so there are at most ``1 / share`` of them: they may always be broadcast.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    most = max(1.0, total * share)
+    return counts.where(F.col(n) > most).select(bucket, F.ceil(F.col(n) / most).cast("int").alias("_pieces"))
+
+
+def bucket_join(left: DataFrame, right: DataFrame, bucket: str, hot: DataFrame, node: str, how: str = "inner") -> DataFrame:
+    """Join members with a table of one row per bucket; the members of a hot bucket are spread over its pieces."""
+    pieces = F.coalesce("_pieces", F.lit(1))
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, bucket, "left").withColumn("_piece", F.pmod(F.xxhash64(node), pieces).cast("int")).drop("_pieces")
+    copies = right.join(hot, bucket, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return dealt.join(copies, [bucket, "_piece"], how).drop("_piece")
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -72,7 +98,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], into: s
     )
 
 
-def blocks(members: DataFrame, bucket: list[str], node: str, size: int) -> DataFrame:
+def blocks(members: DataFrame, bucket: list[str], node: str, size: int, hot: DataFrame | None = None) -> DataFrame:
     """Cut large buckets into blocks, and make one group of rows per pair of blocks.
 
     A bucket of n members has ``ceil(n / size)`` blocks; ``part`` is a member's own. Group
@@ -82,7 +108,8 @@ def blocks(members: DataFrame, bucket: list[str], node: str, size: int) -> DataF
     """
     counts = members.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / size).cast("int")
-    own = members.join(counts, bucket).withColumn("_parts", parts).withColumn(
+    met = members.join(counts, bucket) if hot is None else bucket_join(members, counts.drop(*bucket[:-1]), bucket[-1], hot, node)
+    own = met.withColumn("_parts", parts).withColumn(
         "part", F.pmod(F.xxhash64(node, F.lit("block")), F.col("_parts")).cast("int")
     )
     other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))

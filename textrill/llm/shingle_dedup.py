@@ -29,7 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill.llm.bpe_automaton import text_batches
-from textrill.llm.common import blocks, components, extended, fresh, give_back, table
+from textrill.llm.common import (
+    blocks,
+    bucket_join,
+    components,
+    extended,
+    fresh,
+    give_back,
+    hot_buckets,
+    release_shuffles,
+    table,
+)
 from textrill.session import materialise
 
 WORDS = 5
@@ -245,13 +255,13 @@ def _candidates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return with_sigs.mapInArrow(_prune, "a binary, b binary")
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _open(members: DataFrame, comps: DataFrame, hot: DataFrame) -> DataFrame:
     """The members of the buckets that still hold several components, with ``comp``."""
     told = members.join(comps.select(F.col("node").alias("key"), "root"), "key", "left").select(
         *members.columns, F.coalesce("root", "key").alias("comp")
     )
     mixed = told.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    return materialise(told.join(mixed.select("band"), "band", "left_semi"), "open")
+    return materialise(bucket_join(told, mixed.select("band"), "band", hot, "key", "left_semi"), "open")
 
 
 def _grouped(docs: DataFrame, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -268,28 +278,33 @@ def _grouped(docs: DataFrame, mark: tuple[str, ...] = ()) -> tuple[DataFrame, Da
     bands = [F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(HASHES // ROWS)]
     banded = classes.select("key", F.posexplode(F.array(*bands)).alias("t", "band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.count("*").alias("n"))
-    met = materialise(banded.join(shared.where("_lo < _hi").select("band", "n"), "band"), "met")
+    shared = materialise(shared.where("_lo < _hi").select("band", "n"), "bands")
+    hot = hot_buckets(shared, "band", "n")
+    met = materialise(bucket_join(banded, shared, "band", hot, "key"), "met")
     known_by = met.groupBy("key").agg(F.sum("n").alias("_met"))
     members = materialise(met.join(known_by, "key").select("t", "band", "key", "_met"), "members")
     sets = materialise(_sets(known, known_by.select("key").join(classes.select("key", "doc_id"), "key")), "sets")
     sigs = classes.select("key", "sig")
 
     first = _pivots(members, "pivot")
-    pairs = _pairs(members.join(first, "band"), "pivot")
+    pairs = _pairs(bucket_join(members, first, "band", hot, "key"), "pivot")
     links = materialise(_confirmed(_candidates(pairs, sigs), sets), "links")
     comps = components(links)
-    told = _open(members, comps)
-    pivots = told.join(first, "band").where("key = pivot").select("band", F.col("comp").alias("_settled"))
-    outside = told.join(pivots, "band").where("comp <> _settled")
-    second = told.join(_pivots(outside, "pivot"), "band").where("comp <> _at")
+    release_shuffles(docs.sparkSession)
+    told = _open(members, comps, hot)
+    met_first = bucket_join(told, first, "band", hot, "key")
+    pivots = met_first.where("key = pivot").select("band", F.col("comp").alias("_settled"))
+    outside = bucket_join(told, pivots, "band", hot, "key").where("comp <> _settled")
+    second = bucket_join(told, _pivots(outside, "pivot"), "band", hot, "key").where("comp <> _at")
     comps = extended(comps, materialise(_confirmed(_candidates(_pairs(second, "pivot"), sigs), sets), "links"))
     across = (
-        blocks(_open(told.drop("comp"), comps), ["t", "band"], "key", BLOCK)
+        blocks(_open(told.drop("comp"), comps, hot), ["t", "band"], "key", BLOCK, hot)
         .join(sigs, "key")
         .join(sets, "key")
         .groupBy("t", "band", "lo", "hi")
         .applyInArrow(_across, "a binary, b binary")
     )
+    release_shuffles(docs.sparkSession)
     comps = extended(comps, materialise(across, "links"))
 
     named = classes.drop("sig").join(comps.withColumnRenamed("node", "key"), "key", "left")
@@ -304,8 +319,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component (null) and are kept. An empty table gives no rows; other columns aren't read.
     """
     sketched, named = _grouped(docs)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
-    ids = named.join(least, "root").select("key", "_least")
+    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("_least"), F.count("*").alias("n")), "least")
+    hot = hot_buckets(least, "root", "n")
+    ids = bucket_join(named, least.drop("n"), "root", hot, "key").select("key", "_least")
     return sketched.join(ids, "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"),
