@@ -181,3 +181,20 @@ def test_keyed_part_keeps_the_share(spark):
         assert part.where("part = 'train'").count() == 8000 * share
     with pytest.raises(ValueError, match="decimals"):
         labelled.keyed_part(share=1 / 3)
+
+
+def test_a_text_is_predicted_alone_as_in_a_batch(spark):
+    from textrill.config import TextConfig
+    from textrill.plans.classifier import OnlineClassifier, train_batch
+    from textrill.session import scratch_path
+
+    rows = [(i, "ab"[i % 2], ("red apple pie " if i % 2 else "blue sky rain ") * (1 + i % 3) + f"w{i % 5}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id BIGINT, y STRING, text STRING")
+    path = scratch_path(spark, "saved")
+    train_batch(docs, TextConfig(hash_buckets=None)).save_model(path)
+    found = OnlineClassifier.load_model(spark, path)
+    assert found.text == TextConfig()
+    asked = spark.createDataFrame([(1, None, "red sky w1"), (2, None, "apple new new"), (3, None, "")], docs.schema)
+    together = {r["id"]: (r["pred"], r["prob"]) for r in found.predict(asked).collect()}
+    alone = {i: tuple(found.predict(asked.where(f"id = {i}")).select("pred", "prob").first()) for i in (1, 2, 3)}
+    assert together == alone and alone[3][1] == 0.5

@@ -1208,6 +1208,37 @@ def p1_hashed(spark, sf):
     return classifier.train_batch(docs, replace(TEXT, hash_buckets=1 << 20)).predict(docs)
 
 
+# the IDF of the training part, applied to texts it has not seen
+_saved = [
+    ("every", sql.documents()[1]),
+    ("docs", "SELECT * FROM every WHERE id % 10 < 7"),
+    *sql.TFIDF,
+]
+
+
+@query(
+    "f14_saved_featuriser",
+    sql.with_(
+        *sql.trained(_saved, 3, "VARCHAR"),
+        ("others", "SELECT id, y, tokens FROM every WHERE id % 10 >= 7"),
+        ("met", "SELECT id, idx, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(tokens) AS idx FROM others) GROUP BY ALL"),
+        ("scores", f"SELECT e.id, s.label, sum(e.tf * ln((m.m + 1)::DOUBLE / (df.df + 1)::DOUBLE) * {sql.weight('s.z', 's.n')}) AS m "
+         "FROM met e JOIN df USING (idx) JOIN state s ON s.idx = e.idx, m GROUP BY e.id, s.label"),
+        ("told", "SELECT o.id, o.y, l.label, l.ord, coalesce(s.m, 0.0) AS m FROM others o CROSS JOIN l_all l "
+         "LEFT JOIN scores s ON s.id = o.id AND s.label = l.label"),
+    )
+    + f"\nSELECT id, y, label AS pred, {sql.r6('1 / (1 + exp(-m))')} AS prob FROM told "
+    "QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC, ord) = 1",
+)
+def f14_saved(spark, sf):
+    """A model saved with its TF-IDF and loaded without naming it."""
+    docs = raw_documents(spark, sf)
+    path = scratch_path(spark, "saved")
+    classifier.train_batch(docs.where("id % 10 < 7"), TEXT).save_model(path)
+    found = classifier.OnlineClassifier.load_model(spark, path)
+    return found.predict(docs.where("id % 10 >= 7")).withColumn("prob", r6("prob"))
+
+
 _p2_sql, _ = sql.prequential("rows", "feats", 2, "BIGINT", before=sql.embeddings(2))
 _p2_margins = ", ".join(f"{name} AS MATERIALIZED ({body})" for name, body in sql.margins("state", "l1"))
 

@@ -121,6 +121,25 @@ def tfidf(
     return joined.select("id", *carry, "idx", value.alias("v"))
 
 
+def weighted(
+    docs: DataFrame,
+    idf: DataFrame,
+    texts: int,
+    buckets: int | None = None,
+    carry: Sequence[str] = (),
+    policy: JoinPolicy = JoinPolicy(),
+) -> DataFrame:
+    """F3 with a given ``idf(idx, idf)``, fitted on ``texts`` texts: ``(id, *carry, idx, v)``."""
+    terms, width = measure(idf, "idx", TERM_BYTES)
+    joined = lookup_join(
+        term_counts(docs, buckets, carry), idf, "idx",
+        right_rows=terms, row_bytes=width, spread=F.col("id"), policy=policy,
+    )
+    unknown = idf_value(F.lit(texts), F.lit(0))
+    value = F.when(F.col("idx").isNotNull(), F.col("tf") * F.coalesce("idf", unknown)).otherwise(0.0)
+    return joined.select("id", *carry, "idx", value.alias("v"))
+
+
 def tfidf_by_batch(
     docs: DataFrame, buckets: int | None = None, policy: JoinPolicy = JoinPolicy()
 ) -> DataFrame:

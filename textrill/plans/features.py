@@ -53,6 +53,7 @@ def featuriser(
     def vectors(batch: DataFrame, batch_id: int) -> DataFrame:
         return ftrl.dense_features(means(batch))
 
+    terms.tokens, terms.buckets = split, cfg.hash_buckets
     terms.terms = lambda batch, batch_id: ftrl_rows.term_rows(split(batch), cfg.hash_buckets)
     vectors.vectors = lambda batch, batch_id: ftrl_rows.vector_rows(means(batch))
 
@@ -62,6 +63,21 @@ def featuriser(
     return choices[cfg.featuriser]
 
 
+def fitted(
+    cfg: TextConfig, idf: DataFrame, texts: int, policy: JoinPolicy = JoinPolicy()
+) -> Featurise:
+    """F14, S11. TF-IDF with the IDF of an earlier batch, ``idf(idx, idf)`` fitted on ``texts`` texts.
+
+    A text has the same features alone as among others. A term that the batch lacked counts as in no text.
+    """
+    split = tokens_of(cfg)
+
+    def run(batch: DataFrame, batch_id: int) -> DataFrame:
+        return tfidf.weighted(split(batch), idf, texts, cfg.hash_buckets, ["y"], policy)
+
+    return run
+
+
 def dense(batch: DataFrame, batch_id: int) -> DataFrame:
     """Featuriser of rows that already are vectors, ``(id, y, features)``."""
     return ftrl.dense_features(batch)

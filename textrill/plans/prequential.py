@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig
-from textrill.operators import ftrl, ftrl_rows, metrics
+from textrill.operators import ftrl, ftrl_rows, metrics, tfidf
 from textrill.operators.joins import MOST_TEXTS, partitions
 from textrill.sources.model_store import Model, ModelStore, Score
 
@@ -24,6 +24,7 @@ def step(
     featurise: Featurise,
     cfg: FtrlConfig = FtrlConfig(),
     scored: bool = True,
+    keep_idf: bool = False,
 ) -> Model | None:
     """Score one batch with the model before it, then train on it.
 
@@ -35,14 +36,15 @@ def step(
     the batch is trained on once, and there are no predictions, metrics or drift.
 
     Where the featuriser gives a row per text and the batch's coordinates are within the broadcast bound, their state
-    goes to the rows (``ftrl_rows``); otherwise the features meet the state in joins.
+    goes to the rows (``ftrl_rows``); otherwise the features meet the state in joins. With ``keep_idf`` the batch's IDF is
+    written as a version of the table ``idf``, before the model, for predictions with this version (S11).
     """
     vectors, terms = (getattr(featurise, name, None) for name in ("vectors", "terms"))
     if vectors or terms:
         rows = vectors(batch, batch_id) if vectors else terms(_spread(batch), batch_id)
         rows.persist()
         try:
-            return _row_step(store, rows, batch_id, cfg, scored, bool(terms))
+            return _row_step(store, rows, batch_id, cfg, scored, bool(terms), keep_idf)
         except TooWide:
             pass  # the same batch by way of joins
         finally:
@@ -50,6 +52,10 @@ def step(
     size = batch.count()
     if size == 0:
         return None
+    if keep_idf:
+        docs = featurise.tokens(batch)
+        found = tfidf.inverse_document_frequency(docs, featurise.buckets, texts=size).select("idx", "idf")
+        store.write("idf", batch_id, found.withColumn("texts", F.lit(size).cast("long")))
     # kept spread by text: the featuriser and all passes work on these partitions
     texts = batch.repartition(partitions(batch, size), "id").persist()
     feats = ftrl.by_text(featurise(texts, batch_id), size).persist()
@@ -92,7 +98,7 @@ class TooWide(Exception):
 
 
 def _row_step(
-    store: ModelStore, rows: DataFrame, batch_id: int, cfg: FtrlConfig, scored: bool, terms: bool
+    store: ModelStore, rows: DataFrame, batch_id: int, cfg: FtrlConfig, scored: bool, terms: bool, keep_idf: bool
 ) -> Model | None:
     """One batch of kept rows; ``terms`` says that they hold terms, whose counts take the IDF of this batch."""
     width = F.lit(0) if terms else F.max(F.size("v"))
@@ -115,6 +121,9 @@ def _row_step(
             stats.unpersist()
         keys = found["idx"].combine_chunks()
         idf = np.log((size + 1.0) / (found["df"].to_numpy() + 1.0))
+        if keep_idf:
+            frame = store.spark.createDataFrame(pa.Table.from_arrays([keys, pa.array(idf)], ["idx", "idf"]))
+            store.write("idf", batch_id, frame.withColumn("texts", F.lit(size).cast("long")))
     else:
         keys = pa.array(range(max(0, *(r["width"] or 0 for r in counted))), pa.int32())
         if not ftrl_rows.fits(len(keys), 4 * len(keys), len(labels), cfg):

@@ -85,11 +85,12 @@ def prequential_stream(
     checkpoint: str,
     cfg: FtrlConfig = FtrlConfig(),
     available_now: bool = False,
+    keep_idf: bool = False,
 ) -> StreamingQuery:
     """P3 on a stream of the rows the featuriser takes. A replayed batch writes the same."""
 
     def work(df: DataFrame, batch_id: int) -> None:
-        step(store, df, batch_id, featurise, cfg)
+        step(store, df, batch_id, featurise, cfg, keep_idf=keep_idf)
 
     return each_batch(source, work, checkpoint, available_now)
 
