@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textrill.config import FtrlConfig, JoinPolicy
-from textrill.operators import ftrl
+from textrill.config import FtrlConfig, JoinPolicy, TextConfig
+from textrill.operators import ftrl, ftrl_rows
 from textrill.plans import features, prequential
 from textrill.plans.classifier import OnlineClassifier
 from textrill.session import scratch_path
@@ -188,3 +188,49 @@ def test_passes_need_no_exchange_of_the_texts(spark):
     # the only shuffles by text are those inside the cached table
     assert all("idx" in line for line in live if "REPARTITION" not in line)
     feats.unpersist()
+
+
+def jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    work()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_batch_of_rows_takes_few_jobs_and_no_joins_or_explodes(spark, monkeypatch):
+    plans = []
+    passes = ftrl_rows.pass_sums
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return passes(rows, *rest)
+
+    monkeypatch.setattr(ftrl_rows, "pass_sums", watched)
+    store, joined = (ModelStore(spark, scratch_path(spark, "model")) for _ in range(2))
+    batches = [table(spark, *data(seed), 100 * seed).cache() for seed in (1, 2)]
+    prequential.step(store, batches[0], 0, features.dense)
+    prequential.step(joined, batches[0], 0, sparse)
+    few = jobs(spark, "rows", lambda: prequential.step(store, batches[1], 1, features.dense))
+    many = jobs(spark, "joined", lambda: prequential.step(joined, batches[1], 1, sparse))
+    assert few <= 13 and few < 0.65 * many, (few, many)
+    assert len(plans) == 6 and not any(word in plan for plan in plans for word in ("Generate", "Window", "Join", "Exchange"))
+    agrees(state_of(store.latest()), {label: (z, n) for label, (z, n) in brute.prequential([data(1), data(2)])[1].items()})
+
+
+def test_versions_hold_what_their_batch_changed(spark, monkeypatch):
+    from textrill.sources import model_store
+
+    monkeypatch.setattr(model_store, "COMPACT", 3)
+    cfg = TextConfig()
+    texts = [["a b c", "a d"], ["a e", "e f"], ["g h", "a g"], ["b a", "h h"], ["i", "j a"], ["k", "a"]]
+    store, whole = (ModelStore(spark, scratch_path(spark, "model")) for _ in range(2))
+    shuffled = FtrlConfig(join=JoinPolicy(broadcast_bytes=0, hot_share=0.05))
+    for k, pair in enumerate(texts):
+        batch = spark.createDataFrame([(2 * k + i, "xy"[i], t) for i, t in enumerate(pair)], "id BIGINT, y STRING, text STRING")
+        model = prequential.step(store, batch, k, features.featuriser(cfg))
+        other = prequential.step(whole, batch, k, features.featuriser(cfg), shuffled)
+        written = spark.read.parquet(store.path("weights", k)).count()
+        terms = len({t for s in pair for t in s.split(" ")})
+        assert model.base == (3 if k >= 3 else 0)
+        assert written == (model.state_rows if model.base == k else terms) and model.state_rows == other.state_rows
+        got, want = state_of(store.latest()), state_of(other)
+        assert got.keys() == want.keys() and all(np.allclose(got[c], want[c], atol=1e-9) for c in got)

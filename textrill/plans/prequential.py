@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from textrill.config import FtrlConfig
 from textrill.operators import ftrl, ftrl_rows, metrics, tfidf
-from textrill.operators.joins import MOST_TEXTS, partitions
+from textrill.operators.joins import MOST_TEXTS, TEXTS_PER_PARTITION, partitions
 from textrill.sources.model_store import Model, ModelStore, Score
 
 Featurise = Callable[[DataFrame, int], DataFrame]
 
+# texts that one task passes over faster than several exchange their sums
+FEW_TEXTS = 10 * TEXTS_PER_PARTITION
+
 
 def step(
     store: ModelStore,
@@ -129,7 +132,9 @@ def _row_step(
         if not ftrl_rows.fits(len(keys), 4 * len(keys), len(labels), cfg):
             raise TooWide
     state = ftrl_rows.state_of(prior.state if prior else None, keys, len(labels), store.spark)
-    kept = ftrl_rows.positions(rows, keys, idf).persist() if terms else rows
+    # a small batch is one task's work in a pass, whose sums then need no exchange
+    few = rows.coalesce(1) if size <= FEW_TEXTS else rows
+    kept = ftrl_rows.positions(few, keys, idf).persist() if terms else few
     try:
         score = _score_rows(store, kept, state, prior, batch_id, cfg) if prior and scored else Score()
         passes = 2 * cfg.passes if score.drift else cfg.passes

@@ -23,7 +23,8 @@ from textrill.session import is_missing, path_exists
 
 MODEL_SCHEMA = (
     "label STRING, ord INT, first_batch BIGINT, state_rows BIGINT, rows BIGINT, correct BIGINT, "
-    "accuracy DOUBLE, drift BOOLEAN, settings STRING, base BIGINT"
+    "accuracy DOUBLE, drift BOOLEAN, settings STRING, base BIGINT, "
+    "index_type STRING"
 )
 
 # versions of changed coordinates that are read together before a whole state is written
@@ -116,8 +117,9 @@ class ModelStore:
                 )
         written = self.write("weights", version, state)
         rows = written.count() if rows is None else rows
+        index_type = written.schema["idx"].dataType.simpleString()
         if base < version:
-            written = self.states(base, version)
+            written = self.states(base, version, index_type)
         facts = {
             "state_rows": f"{rows}L",
             "rows": _bigint(score.rows),
@@ -126,6 +128,7 @@ class ModelStore:
             "drift": str(score.drift).lower(),
             "settings": text(json.dumps(asdict(cfg))),
             "base": f"{base}L",
+            "index_type": text(index_type),
         }
         constant = ", ".join(f"'{name}', {value}" for name, value in facts.items())
         entries = ", ".join(
@@ -137,11 +140,12 @@ class ModelStore:
         self.write("model", version, one.selectExpr(f"inline(array({entries}))"))
         return Model(version, written, rows, list(labels), list(first_batch), score, cfg, base)
 
-    def states(self, base: int, version: int) -> DataFrame:
+    def states(self, base: int, version: int, index_type: str) -> DataFrame:
         """The whole state at a version: of each coordinate the last of the versions from ``base`` on."""
+        schema = f"idx {index_type}, z ARRAY<DOUBLE>, n ARRAY<DOUBLE>"
         if base == version:
-            return self.spark.read.parquet(self.path("weights", version))
-        found = self.spark.read.parquet(self.path("weights"))
+            return self.spark.read.schema(schema).parquet(self.path("weights", version))
+        found = self.spark.read.schema(f"{schema}, version BIGINT").parquet(self.path("weights"))
         return last_states(found.where((F.col("version") >= base) & (F.col("version") <= version)))
 
     def read_version(self, table: str, version: int) -> DataFrame | None:
@@ -176,7 +180,7 @@ class ModelStore:
         settings["join"] = JoinPolicy(**settings["join"])
         return Model(
             version,
-            self.states(rows[0]["base"], version),
+            self.states(rows[0]["base"], version, rows[0]["index_type"]),
             rows[0]["state_rows"],
             [row["label"] for row in rows],
             [row["first_batch"] for row in rows],
