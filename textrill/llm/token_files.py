@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrill.llm.common import table
+from textrill.llm.common import give_back, table
 from textrill.llm.units import TextEncoder, UnitTable, byte_batches
 from textrill.session import scratch_path
 
@@ -29,6 +29,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 TEXT_RUN = 1 << 19
+TABLE_BYTES = 64 << 20
 
 FORMAT = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -66,39 +67,39 @@ class Encoder:
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.library.normalizer for t in special.values()):
             raise ValueError("only special strings that stand for themselves are read")
         (self.line_end,) = self._whole("\n").tolist()
-        self.units = UnitTable(self._learn)
+        self.units = UnitTable(self._learn, TABLE_BYTES)
         self.texts = TextEncoder({t.content: i for i, t in special.items()}, self.units)
 
     def _whole(self, text: str) -> np.ndarray:
         (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(new)
-        lines, at = [], []
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lines, at, alone = [], [], []
         for i, unit in enumerate(new):
             text = unit.decode()
             if _ASCII_WORD.fullmatch(unit) or _LATIN_UNIT.fullmatch(text) and len(_WORDS.findall(text)) == 1:
                 lines.append(text)
                 at.append(i)
             else:
-                out[i] = self._whole(text)
-        if lines:
-            ids = self._whole("\n".join(lines))
-            ends = np.flatnonzero(ids == self.line_end)
-            for i, part in zip(at, np.split(ids, ends), strict=True):
-                out[i] = part[1:] if i != at[0] else part
-        return out
+                alone.append((i, self._whole(text)))
+        counts = np.zeros(len(new), np.int64)
+        ids = self._whole("\n".join(lines))
+        ends = np.flatnonzero(ids == self.line_end)
+        counts[at] = np.diff(ends, prepend=-1, append=len(ids))[: len(at)] - 1
+        ids = np.delete(ids, ends)
+        if not alone:
+            return ids, counts
+        places = np.array([i for i, _ in alone])
+        more = np.array([len(x) for _, x in alone])
+        before = np.cumsum(counts) - counts
+        counts[places] = more
+        return np.insert(ids, np.repeat(before[places], more), np.concatenate([x for _, x in alone])), counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (and the last's end)."""
         return self.texts.encode(texts)
 
-    def release(self) -> None:
-        """Give back what was kept of the texts seen."""
-        self.units.clear()
-
-
 _encoders: dict[int, Encoder] = {}
 
 
@@ -112,7 +113,7 @@ def encoder_of(file_text: str) -> Encoder:
 
 
 def encoded_batches(encoder: Encoder, batches: Iterator[pa.RecordBatch], end_id: int | None) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, n_tokens, ids)`` of batches ``(doc_id, text)``; at the end the encoder gives its table back."""
+    """``(doc_id, n_tokens, ids)`` of batches ``(doc_id, text)``. The encoder's table, of bounded bytes, stays for the next task."""
     for batch in batches:
         for begin, texts in byte_batches(batch, 1, TEXT_RUN):
             ids, at = encoder.encode(texts)
@@ -127,7 +128,7 @@ def encoded_batches(encoder: Encoder, batches: Iterator[pa.RecordBatch], end_id:
                 ],
                 ["doc_id", "n_tokens", "ids"],
             )
-    encoder.release()
+    give_back()
 
 
 def encoded(docs: DataFrame, file_text: str, end_id: int | None = END_ID) -> DataFrame:

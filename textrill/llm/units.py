@@ -121,6 +121,10 @@ def pieces(text: bytes, size: int = RUN) -> Iterator[bytes]:
     yield text[begin:] if begin else text
 
 
+# ids of all units given, one after the other, and how many each has
+Learn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
 class UnitTable:
     """The units seen so far with their ids, in arrays: an open table by digest, one pool of bytes, one of ids.
 
@@ -129,7 +133,7 @@ class UnitTable:
     emptied when its arrays hold more than ``limit`` bytes.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], limit: int = TABLE_BYTES):
+    def __init__(self, learn: Learn, limit: int = TABLE_BYTES):
         self.learn, self.limit = learn, limit
         self.clear()
 
@@ -193,16 +197,14 @@ class UnitTable:
             self._place(h, entry)
 
     def _add(self, h: np.ndarray, units: list[bytes]) -> None:
-        found = self.learn(units)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+        found, counts = self.learn(units)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        total, text = int(counts.sum()), b"".join(units)
+        total, text = len(found), b"".join(units)
         self._grow(len(h), total, len(text))
         entry = np.arange(self.count, self.count + len(h))
         self.first[entry], self.length[entry] = self.used + np.cumsum(counts) - counts, counts
         self.at[entry], self.bytes_of[entry] = self.text_used + np.cumsum(sizes) - sizes, sizes
-        if total:
-            self.pool[self.used : self.used + total] = np.concatenate(found)
+        self.pool[self.used : self.used + total] = found
         self.text[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
         self._place(h, entry.astype(np.int32))
         self.count += len(h)
@@ -256,11 +258,11 @@ class UnitTable:
             at = np.flatnonzero(alone)
             for i, unit in zip(at.tolist(), slices(at), strict=True):
                 by_unit.setdefault(unit, []).append(i)
-            found = self.learn(list(by_unit))
-            pool, used = np.concatenate([self.pool[: self.used], *found]), self.used
-            for places, ids in zip(by_unit.values(), found, strict=True):
-                first[places], counts[places] = used, len(ids)
-                used += len(ids)
+            found, of_unit = self.learn(list(by_unit))
+            pool, used = np.concatenate([self.pool[: self.used], found]), self.used
+            for places, n in zip(by_unit.values(), of_unit.tolist(), strict=True):
+                first[places], counts[places] = used, n
+                used += n
         behind = np.cumsum(counts)
         ids = pool[np.repeat(first - (behind - counts), counts) + np.arange(int(behind[-1]))]
         before = np.concatenate([[0], behind])
