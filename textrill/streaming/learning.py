@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +13,7 @@ from textrill.config import FtrlConfig, JoinPolicy, SgdConfig, TextConfig
 from textrill.operators import ftrl, sgd, wordvec
 from textrill.plans.features import Featurise, tokens_of
 from textrill.plans.prequential import step
-from textrill.session import is_missing
+from textrill.session import path_exists
 from textrill.sources import lines
 from textrill.sources.model_store import ModelStore
 
@@ -114,12 +113,9 @@ def growing_vectors(
     base_sizes = wordvec.vector_sizes(base, cfg.vector_size)
 
     def before(batch_id: int) -> DataFrame:
-        try:
-            added = store.read("added_words").where(F.col("batch") < batch_id)
-        except AnalysisException as error:
-            if not is_missing(error):
-                raise
+        if not path_exists(store.spark, store.path("added_words")):
             return base
+        added = store.read("added_words").where(F.col("batch") < batch_id)
         return base.unionByName(added.select("word", "vec", "origin"))
 
     def run(batch: DataFrame, batch_id: int) -> DataFrame:
