@@ -160,11 +160,11 @@ def plain_risk(w, x, trusted, prior, ridge):
     return prior * np.logaddexp(0, -g[trusted]).mean() + max(0.0, negative) + 0.5 * ridge * (w[1:] ** 2).sum()
 
 
-def test_quality_minimises_the_bounded_risk(spark, small):
+def test_quality_minimises_the_risk_where_the_bound_does_not_hold(spark, small):
     docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
     rows = quality.with_features(docs.select("doc_id", "text"), "_x").drop("text")
     told = quality.training_rows(rows, labels).cache()
-    prior = quality.estimated_prior(told)
+    prior = 0.2  # far below the share of positives: the part on negatives stays above 0, and the risk is convex
     model = quality.fit(told, prior)
     found = told.toPandas()
     trusted, x = found["trusted"].to_numpy(bool), np.array([np.frombuffer(b, "<f8") for b in found["x"]])
@@ -180,7 +180,7 @@ def test_quality_minimises_the_bounded_risk(spark, small):
         up = z.T @ s / len(z) - prior * z[trusted].T @ s[trusted] / trusted.sum()
         slope = (up if negative > 0 else 0) - prior * z[trusted].T @ (1 - s[trusted]) / trusted.sum() + quality.RIDGE * np.append(0, v[1:])
         v = v - 0.5 / (1 + step / 400) * slope
-    assert least < plain_risk(v, z, trusted, prior, quality.RIDGE) + 1e-2
+    assert negative > 0 and least < plain_risk(v, z, trusted, prior, quality.RIDGE) + 1e-3
 
 
 def test_prior_from_positives_and_unlabelled_rows():
