@@ -97,6 +97,16 @@ def test_mix_takes_the_same_rows_in_any_order(spark):
     assert others == [one, one] and 0 < len(one)
 
 
+def test_mix_comes_within_half_of_the_longest_document(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1000 * k + i, f"s{k:02}", 1 + int(x)) for k in range(30) for i, x in enumerate(rng.pareto(1.0, 50) * 20)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    taken = mixing.copies_taken(frame, "source", ["doc_id"], "size", "copies")
+    words, longest = F.sum(F.col("copies") * F.col("size")), F.max("size")
+    sums = taken.groupBy("source", "target").agg(words.alias("words"), longest.alias("longest")).collect()
+    assert len(sums) == 30 and all(2 * abs(r["words"] - r["target"]) <= r["longest"] for r in sums)
+
+
 def test_a_mix_of_many_sources_shares_out_the_targets(spark):
     rng = np.random.default_rng(4)
     sizes = {f"s{i:04}": int(s) for i, s in enumerate(rng.pareto(0.7, 3000) * 10)}

@@ -11,6 +11,7 @@ from textrill.session import materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+STARTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -50,20 +51,32 @@ def copies_taken(sized: DataFrame, group: str, order: list[str], size: str, into
     """Add ``source_size``, ``target`` and ``into`` (copies to emit) to sized rows.
 
     Within its source each document expects target / source_size copies. In the order of size, then of ``order``,
-    the expected copies are summed up, the source's one random offset is added, and a document is
+    the expected copies are summed up, the source's offset is added, and a document is
     emitted once per whole number that its stretch of the sum crosses. So every document
-    gets the expected copies rounded down or up, each with its chance, and as neighbours are alike in size, the words taken come
-    within about one of the longest documents of the target. Rows equal in size and ``order`` should be equal altogether, so
-    that it doesn't matter which of them is taken.
+    gets the expected copies rounded down or up, and as neighbours are alike in size, the words taken come
+    within about one of the longest documents of the target. Where a few long documents hold much of
+    a source, that is still much: so the offset is drawn as ``STARTS`` equally spaced ones from a random first, and the one
+    whose words come nearest to the target is used (the first of equals). Rows equal in size and ``order`` should be equal
+    altogether, so that it doesn't matter which of them is taken.
     """
     placed = numbered(sized, [group], [F.col(c) for c in (size, *order)], "_i")
     sums = placed.groupBy(F.col(group).alias("source")).agg(F.sum(size).alias("source_size"))
     plan = materialise(targets(sums), "targets").withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    stretch = lambda i: F.floor(i * rate + F.col("offset"))
-    copies = F.least(stretch(F.col("_i") + 1) - stretch(F.col("_i")), F.lit(most))
+
+    def copies(start: Column) -> Column:
+        stretch = lambda i: F.floor(i * rate + start)
+        return F.least(stretch(F.col("_i") + 1) - stretch(F.col("_i")), F.lit(most))
+
     rows = placed.join(plan, placed[group].eqNullSafe(F.col("_source")), "left")
-    return rows.select(*(placed[c] for c in sized.columns), "source_size", "target", copies.cast("long").alias(into))
+    words = F.array(*(F.sum(copies(F.col("offset") + k / STARTS) * F.col(size)) for k in range(STARTS)))
+    tried = rows.groupBy("_source").agg(words.alias("_words"), F.first("target").alias("_target"))
+    off = F.transform("_words", lambda w, k: F.struct(F.abs(w - F.col("_target")).alias("off"), k.alias("k")))
+    chosen = tried.select(F.col("_source").alias("_chosen"), F.array_min(off)["k"].alias("_k"))
+    return rows.join(chosen, F.col("_source").eqNullSafe(F.col("_chosen")), "left").select(
+        *(placed[c] for c in sized.columns), "source_size", "target",
+        copies(F.col("offset") + F.col("_k") / STARTS).cast("long").alias(into),
+    )
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -123,8 +136,13 @@ placed AS (
   SELECT s.doc_id, s.size, s.source, p.source_size, p.target, p.u,
     CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0.0::DOUBLE END AS rate,
     row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST, s.digest) - 1 AS i
-  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-  (least(floor((i + 1) * rate + u) - floor(i * rate + u), 3) * size)::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+tried AS (
+  SELECT *, least(floor((i + 1) * rate + (u + k / {STARTS})) - floor(i * rate + (u + k / {STARTS})), 3) * size AS taken
+  FROM placed, (SELECT range AS k FROM range({STARTS}))),
+chosen AS (
+  SELECT source, k FROM tried GROUP BY source, k
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), k) = 1)
+SELECT t.doc_id, t.size, t.source_size, t.target, t.taken::BIGINT AS taken
+FROM tried t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
 """
