@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -235,6 +236,27 @@ def test_pipeline_stages_take_effect(spark, small):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, small):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 700).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        for stage in (corpus_pipeline.keep_good, corpus_pipeline.keep_one, corpus_pipeline.encode):
+            spark.conf.unset(setting)
+            stage(spark, docs.limit(0), small)
+            got = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 4000 and max(r["size"] for r in got) < 5 << 20
+        spark.conf.set(setting, "1m")
+        corpus_pipeline.encode(spark, docs, "")
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_pipeline_equals_brute_force(spark, small):
     docs = table(spark, small, "documents")
     model, _ = quality.learn(docs, table(spark, small, "labels"))  # only the scores are worked out again, not the training

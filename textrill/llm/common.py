@@ -14,6 +14,9 @@ from textrill.session import materialise
 
 # one word: a run of bytes other than the six ASCII blanks
 WORD = r"[^\x20\x09-\x0D]+"
+# bytes of the rows that a Python worker is handed at once
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -28,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have rows handed to Python in batches of about ``BATCH_BYTES``; by default they may hold 64 MB.
+
+    An executor holds each batch several times over, outside its heap and in its worker. This is a setting of the session,
+    as a query runs after it was built; a smaller one stays. All rows are handed over as before.
+    """
+    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def give_back() -> None:
     """Hand memory that a task has freed back to the system: its worker lives on, and counts with its executor."""
     pa.default_memory_pool().release_unused()
