@@ -86,6 +86,15 @@ def test_stop_words_on_a_stream_in_several_sets(spark):
     assert got == [(1, "cat "), (2, "y"), (3, ""), (3, ""), (4, "a ")]
 
 
+def test_several_sets_on_a_stream_are_one_step(spark):
+    source = scratch_path(spark, "texts")
+    spark.createDataFrame([(1, "the cat")], "id INT, text STRING").write.parquet(source)
+    words = spark.createDataFrame([(f"w{i}",) for i in range(50)], "word STRING")
+    stream = spark.readStream.schema("id INT, text STRING").parquet(source)
+    kept = cleaning.remove_stop_words(stream, words, policy=JoinPolicy(broadcast_bytes=1000))
+    assert kept._jdf.queryExecution().logical().toString().count("MapInArrow") == 1
+
+
 def test_long_tokens_are_measured_not_guessed(spark):
     words = spark.createDataFrame([(f"{i}" * 2000,) for i in range(10, 60)], "word STRING")
     rows, width = measure(words, "word", 64)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +38,36 @@ def remove_words(
 
 # what a word takes in a set beside its own bytes
 WORD_BYTES = 112
+# texts whose tokens are held at once, beside those of a batch from Spark
+ROWS_AT_ONCE = 500
 
 
-def _without(df: DataFrame, words: DataFrame, column: str) -> DataFrame:
-    """Drop the words of a small list from the token arrays in ``column``."""
-    shared = df.sparkSession.sparkContext.broadcast(words.toArrow()["word"].combine_chunks())
+def _without(df: DataFrame, words: Sequence[DataFrame], column: str) -> DataFrame:
+    """Drop the words of some small lists from the token arrays in ``column``, in one step.
+
+    Each list goes to the tasks as a set of its own; tokens stay in their Arrow arrays.
+    """
+    context = df.sparkSession.sparkContext
+    shared = [context.broadcast(part.toArrow()["word"].combine_chunks()) for part in words]
     at, names = df.columns.index(column), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dropped = frozenset(shared.value.to_pylist())
-        for batch in batches:
-            tokens = [x if x is None else [t for t in x if t not in dropped] for x in batch.column(at).to_pylist()]
-            columns = batch.columns
-            columns[at] = pa.array(tokens, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                lists = batch.column(at)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                tokens = lists.flatten()
+                stays = np.ones(len(tokens), bool)
+                for part in shared:
+                    stays &= ~pc.is_in(tokens, value_set=part.value).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                ends = np.cumsum(np.bincount(row[stays], minlength=len(sizes)))
+                columns = batch.columns
+                columns[at] = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, ends), pa.int32()), tokens.filter(pa.array(stays)), mask=lists.is_null()
+                )
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.mapInArrow(run, df.schema)
 
@@ -65,7 +83,7 @@ def remove_stop_words(
     """T3 for a table ``words(word)`` of any size.
 
     A list within the broadcast bound, measured in bytes, goes to the texts as a set; they aren't shuffled. On a stream a
-    larger list goes as several such sets, one step behind the other. On a table it is joined with the exploded
+    larger list goes as several such sets, all to one step. On a table it is joined with the exploded
     tokens, and each text is put together again in token order; a text comes from one row, so its group is bounded by it.
     There the rows are written once with a number of their own, so that repeated and null
     values of ``id_column`` keep their rows apart. All ways give the same and leave a null text null.
@@ -74,10 +92,11 @@ def remove_stop_words(
     count, width = measure(words, "word", WORD_BYTES)
     parts = max(1, math.ceil(count * width / max(1, policy.broadcast_bytes)))
     if parts == 1 or df.isStreaming:
-        kept = df.withColumn(column, tx.java_split(F.col(column), separator)) if count else df
-        for k in range(parts if count else 0):
-            kept = _without(kept, words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k), column)
-        return kept.withColumn(column, F.array_join(column, " ")) if count else df
+        if not count:
+            return df
+        kept = df.withColumn(column, tx.java_split(F.col(column), separator))
+        lists = [words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k) for k in range(parts)]
+        return _without(kept, lists, column).withColumn(column, F.array_join(column, " "))
 
     row = "_row"
     while row in df.columns:
