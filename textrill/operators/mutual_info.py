@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textrill.config import JoinPolicy
-from textrill.operators.joins import lookup_join, measure
-from textrill.operators.tfidf import exploded
-from textrill.session import shared_dir
+from textrill.operators import word_blocks
+from textrill.operators.joins import fits_broadcast, measure
+from textrill.session import materialise, shared_dir
 
 
 def word_weights(docs: DataFrame) -> DataFrame:
     """``(y, word, mi)`` with mi = P(c) * log2(P(w, c) / (P(w) P(c))).
 
     P(w) is the share of tokens, P(c) the share of texts, P(w, c) the share of texts that
-    are of class c and hold w. All counts are combined on the map side; a word's texts are
-    counted without an exchange by text, as repeats are dropped inside the row.
+    are of class c and hold w. Both counts come from one reading of the texts, as sums of blocks.
     """
     sizes = docs.groupBy("y").agg(F.count("*").alias("n")).collect()
     texts = sum(row["n"] for row in sizes)
     shares = F.create_map(*(F.lit(v) for row in sizes for v in (row["y"], row["n"] / texts)))
-    per_class = (
-        exploded(docs, F.array_distinct("tokens"), "word", ["y"])
-        .groupBy("y", "word")
-        .agg(F.count("*").alias("texts"))
-    )
-    per_word = (
-        exploded(docs, F.col("tokens"), "word")
-        .groupBy("word")
-        .agg(F.count("*").alias("word_tokens"))
-    )
-    total = docs.agg(F.sum(F.size("tokens")).alias("n")).first()["n"]
-    joined = per_class.join(per_word, "word")
+    y_type = docs.schema["y"].dataType.simpleString()
+    met = word_blocks.words(word_blocks.cut(docs, ["y"], "y", texts=False), by=y_type)
+    shared_dir(docs.sparkSession)
+    counted = met.groupBy(F.col("of").alias("y"), "word").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).checkpoint()
+    total = counted.agg(F.sum("tokens").alias("n")).first()["n"]
+    # a row per class of the word
+    joined = counted.withColumn("word_tokens", F.sum("tokens").over(Window.partitionBy("word")))
     p_c = shares[F.col("y")]
     p_w = F.col("word_tokens") / F.lit(float(total))
     p_wc = F.col("texts") / F.lit(float(texts))
@@ -48,40 +44,37 @@ def weighted_vectors(
 ) -> DataFrame:
     """``(id, y, features)``: known words' vectors times the word's share of the text's weights,
     summed, over the count of all tokens."""
-    tokens = docs.select(
-        "id", "y", F.size("tokens").alias("_n"), F.explode_outer("tokens").alias("word")
-    )
-    counted = tokens.groupBy("id", "y", "_n", "word").agg(
-        F.count("*").cast("double").alias("_tf")
-    )
-    shared_dir(docs.sparkSession)
-    key = F.struct("y", "word").alias("_key")
-    weights = weights.select(key, "mi").checkpoint()
-    pairs, pair_bytes = measure(weights, "_key", 96)
-    words, word_bytes = measure(word_vec, "word", 64 + 4 * size)
-    scored = lookup_join(
-        counted.select("*", key),
-        weights,
-        "_key",
-        right_rows=pairs,
-        row_bytes=pair_bytes,
-        spread=F.col("id"),
-        policy=policy,
-    ).drop("_key")
-    met = lookup_join(
-        scored,
-        word_vec.select("word", "vec"),
-        "word",
-        right_rows=words,
-        row_bytes=word_bytes,
-        spread=F.col("id"),
-        policy=policy,
-    )
-    sums = (
-        F.expr(f"sum(_tf * mi * coalesce(CAST(get(vec, {p}) AS DOUBLE), 0.0D)) AS s{p}")
-        for p in range(size)
+    keys = ["id", "y", "_n"]
+    kept = docs.withColumn("_n", F.size("tokens"))
+    types = kept.schema
+    blocks = materialise(word_blocks.cut(kept, keys, "y"), "blocks")
+    asked = word_blocks.words(blocks, by=types["y"].dataType.simpleString())
+    # a row per block, class and word: no word has more of them than there are blocks and classes
+    weighed = asked.select("r", "code", "word", F.struct(F.col("of").alias("y"), "word").alias("_key")).join(
+        weights.select(F.struct("y", "word").alias("_key"), "mi").hint("merge"), "_key"
     )
-    summed = met.groupBy("id", "y", "_n").agg(F.expr("sum(_tf * mi) AS _total"), *sums)
+    known = word_vec.select("word", F.col("vec").cast("array<double>").alias("vec"))
+    words, width = measure(word_vec, "word", 64 + 4 * size)
+    known = F.broadcast(known) if fits_broadcast(words, width, policy) else known.hint("merge")
+    met = weighed.drop("_key").where("mi IS NOT NULL").join(known, "word", "left").select("r", "code", "mi", "vec")
+
+    def sums(kept: list, row: np.ndarray, code: np.ndarray, count: np.ndarray, found: pa.Table) -> pa.Table:
+        texts, places = len(kept[0]), word_blocks.codes(code)
+        at = found["code"].to_numpy()
+        mi, place = np.zeros(places), np.zeros((places, size))
+        mi[at] = found["mi"].to_numpy()
+        place[at] = word_blocks.vectors_of(found["vec"], size)
+        weight = count * mi[code]
+        total = np.bincount(row, weights=weight, minlength=texts)
+        has = place.any(axis=1)[code]
+        row, code, weight = row[has], code[has], weight[has]
+        columns = [total, *(np.bincount(row, weights=weight * place[code, p], minlength=texts) for p in range(size))]
+        return pa.table([*kept, *(pa.array(c, pa.float64()) for c in columns)], names=[*keys, *names])
+
+    names = ["_total", *(f"s{p}" for p in range(size))]
+    columns = [*(f"{k} {types[k].dataType.simpleString()}" for k in keys), *(f"{name} DOUBLE" for name in names)]
+    found = word_blocks.meet(blocks, met, sums, ", ".join(columns))
+    summed = found.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in names))
     shares = ", ".join(
         f"coalesce(try_divide(try_divide(s{p}, _total), CAST(_n AS DOUBLE)), 0.0D)"
         for p in range(size)
