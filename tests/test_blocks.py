@@ -84,6 +84,22 @@ def test_lines_of_a_large_batch_go_by_blocks(spark, monkeypatch, tmp_path):
     assert scores() == want and len(want) == 2
 
 
+def test_lines_of_a_batch_are_read_and_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(ftrl_blocks, "LARGE_TEXT", -1)
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(found):
+        for batch in found:
+            read.add(batch.num_rows)
+            yield batch
+
+    given = [(f"w{i} all\t{'ab'[i % 2]}", "f") for i in range(20)] + [("short", "f")]
+    named = spark.createDataFrame(given, "value STRING, file STRING").mapInArrow(counting, "value STRING, file STRING")
+    store = ModelStore(spark, scratch_path(spark, "model"))
+    learning.line_step(store, named, 0, features.featuriser(TEXT))
+    assert read.value == len(given) and store.read("rejects").count() == 1
+
+
 def test_empty_batches_and_batches_without_labels_or_words(spark, monkeypatch):
     monkeypatch.setattr(ftrl_blocks, "LARGE_TEXT", -1)
     store, run_ = ModelStore(spark, scratch_path(spark, "model")), features.featuriser(TEXT)

@@ -54,11 +54,16 @@ def line_step(
 ) -> None:
     """P3 on one batch of labelled lines ``(value, file)``.
 
-    Lines that are too short go to the table ``rejects``.
+    Lines that are too short go to the table ``rejects``. The lines with their ids are kept while the batch is worked on, as they
+    come out of a shuffle of all lines.
     """
-    rows, rejects = lines.parse_labelled(lines.with_ids(named), keep=["id"])
-    store.write("rejects", batch_id, rejects)
-    step(store, rows, batch_id, featurise, cfg)
+    each = lines.with_ids(named).persist()
+    try:
+        rows, rejects = lines.parse_labelled(each, keep=["id"])
+        store.write("rejects", batch_id, rejects)
+        step(store, rows, batch_id, featurise, cfg)
+    finally:
+        each.unpersist()
 
 
 def line_stream(
